@@ -47,7 +47,7 @@ def pattern_join(patterns: DataFrame, texts: DataFrame, text: str = "text") -> D
         "_piece", lookup_piece(F.col("pattern"))
     )
     offered = texts.withColumn("_piece", F.explode(pieces(F.col(text))))
-    return offered.join(asked, "_piece").where(F.col(text).ilike(F.col("pattern"))).drop("_piece")
+    return offered.join(asked, "_piece").where(F.ilike(F.col(text), F.col("pattern"))).drop("_piece")
 
 
 _BASE_DEGREES = 0.05

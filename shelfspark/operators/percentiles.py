@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
 _MARGIN = 3.0 / _ACCURACY
+# Groups up to this size are ranked whole; above it the margin spans many ranks.
+SMALL_GROUP = 100_000
 
 
 def exact_percentiles(
@@ -42,7 +44,9 @@ def exact_percentiles(
         position = F.least(position.cast("double"), (F.col("_n") - 1).cast("double"))
         targets.append(
             F.struct(
-                F.lit(name).alias("name"), F.col("_b")[2 * index].alias("lo"), F.col("_b")[2 * index + 1].alias("hi"),
+                F.lit(name).alias("name"),
+                F.when(F.col("_n") > SMALL_GROUP, F.col("_b")[2 * index]).otherwise(float("-inf")).alias("lo"),
+                F.when(F.col("_n") > SMALL_GROUP, F.col("_b")[2 * index + 1]).otherwise(float("inf")).alias("hi"),
                 position.alias("position"),
             )
         )

@@ -223,7 +223,7 @@ def _cells(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = right.select("id", "embedding", F.explode("visits").alias("cell"))
     sizes = {}
     counted = left.select("cell", F.lit(0).alias("side")).unionAll(right.select("cell", F.lit(1).alias("side")))
-    for row in counted.groupBy("cell").agg(F.count_if("side = 0").alias("l"), F.count_if("side = 1").alias("r")).collect():
+    for row in counted.groupBy("cell").agg(F.count_if(F.expr("side = 0")).alias("l"), F.count_if(F.expr("side = 1")).alias("r")).collect():
         # At most one row per pivot.
         sizes[row["cell"]] = (max(1, math.ceil(row["l"] / BLOCK_ROWS)), max(1, math.ceil(row["r"] / BLOCK_ROWS)))
     if not sizes:

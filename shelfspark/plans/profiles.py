@@ -142,8 +142,8 @@ def recall_previous(results: DataFrame, messages: DataFrame, shown: int = 5) ->
     ``session_id, last_user_message``. Sessions without results give no row.
     """
     counts = results.groupBy("session_id").agg(
-        F.count_if("kind = 'product'").alias("previous_product_count"),
-        F.count_if("kind = 'store'").alias("previous_store_count"),
+        F.count_if(F.expr("kind = 'product'")).alias("previous_product_count"),
+        F.count_if(F.expr("kind = 'store'")).alias("previous_store_count"),
     )
     top = top_n(results, ["session_id", "kind"], [F.col("position")], shown)
     names = lambda kind: F.transform(

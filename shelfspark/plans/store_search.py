@@ -52,7 +52,7 @@ def store_search_near(queries: DataFrame, stores: DataFrame, listings: DataFrame
     return top_n(found, ["query_id"], [F.col("distance_km"), F.col("store_id")], rows)
 
 
-def city_expanded_search(queries: DataFrame, stores: DataFrame, listings: DataFrame) -> DataFrame:
+def city_expanded_search(queries: DataFrame, stores: DataFrame, listings: DataFrame, buckets=None) -> DataFrame:
     """Batch store search over a city and its regional buckets.
 
     Queries: ``query_id, city, store_type, online_only, limit``. Each bucket gives its ten
@@ -60,7 +60,7 @@ def city_expanded_search(queries: DataFrame, stores: DataFrame, listings: DataFr
     one that brings the list to three times the limit are not used; the online filter
     comes before the limit. Stores have no free-text filter here.
     """
-    asked = queries.withColumn("buckets", expand_city(F.col("city"))).withColumn(
+    asked = queries.withColumn("buckets", expand_city(F.col("city"), buckets)).withColumn(
         "buckets", F.when(F.size("buckets") == 0, F.array(F.lit(""))).otherwise(F.col("buckets"))
     )
     patterns = asked.select("query_id", F.posexplode("buckets").alias("bucket", "_text")).select(
@@ -72,7 +72,7 @@ def city_expanded_search(queries: DataFrame, stores: DataFrame, listings: DataFr
     matched = pattern_join(patterns, cities, "_city").select("query_id", "bucket", "_city")
     parameters = queries.select("query_id", "store_type", "online_only", "limit")
     found = matched.join(counted, "_city").join(parameters, "query_id")
-    found = found.where(F.col("store_type").isNull() | F.col("store_category").ilike(F.col("store_type")))
+    found = found.where(F.col("store_type").isNull() | F.ilike(F.col("store_category"), F.col("store_type")))
     per_bucket = top_n(found, ["query_id", "bucket"], [F.desc("product_count"), F.col("store_id")], BUCKET_ROWS)
     merged = first_per_key(per_bucket, ["query_id", "store_id"], ["bucket", "rank"])
     return _stop_early(merged)

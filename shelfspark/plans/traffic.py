@@ -100,10 +100,10 @@ def returning_users(searches: DataFrame, as_of=None) -> DataFrame:
 def user_activity_bands(searches: DataFrame, as_of=None) -> DataFrame:
     per_user = within(searches, "searched_at", "7 DAYS", as_of).groupBy("user_id").agg(F.count("*").alias("n"))
     return per_user.agg(
-        F.count_if("n = 1").alias("one_search_users"),
-        F.count_if("n BETWEEN 2 AND 5").alias("light_users"),
-        F.count_if("n BETWEEN 6 AND 20").alias("regular_users"),
-        F.count_if("n > 20").alias("heavy_users"),
+        F.count_if(F.expr("n = 1")).alias("one_search_users"),
+        F.count_if(F.expr("n BETWEEN 2 AND 5")).alias("light_users"),
+        F.count_if(F.expr("n BETWEEN 6 AND 20")).alias("regular_users"),
+        F.count_if(F.expr("n > 20")).alias("heavy_users"),
     )
 
 
