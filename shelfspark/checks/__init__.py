@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["traffic", "search"]
+FAMILIES = ["traffic", "search", "cleaning"]
 
 
 def load():

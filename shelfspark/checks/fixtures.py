@@ -84,7 +84,7 @@ FROM v_products""",
     "v_named_stores": """
 SELECT store_id, concat(CASE store_id % 9 WHEN 0 THEN 'FOX ' WHEN 1 THEN 'fox home ' WHEN 2 THEN 'Castro' WHEN 3 THEN 'foxy '
               WHEN 4 THEN 'H&M ' WHEN 5 THEN 'pull & bear ' WHEN 6 THEN 'Zara ' ELSE 'Shop ' END, ' ', name_he) AS name_he,
-       CASE WHEN store_id % 5 = 0 THEN concat('cofix ', name_en) ELSE name_en END AS name_en,
+       CASE WHEN store_id % 5 = 0 AND name_en IS NOT NULL THEN concat('cofix ', name_en) ELSE name_en END AS name_en,
        partner_url, store_category, is_online, city, region, address, lat, lng
 FROM v_stores""",
     # One query per (first word, brand) combination found in the catalogue.

@@ -63,7 +63,7 @@ if __name__ == "__main__":
 
     folder, names = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                "spark.driver.memory": "8g"})
+                                                "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles, con = entry.queries(), entry.oracle_sql(), connect(folder)
     chosen = [n for n in queries if not names or any(n.startswith(p) for p in names)]
