@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["traffic", "search", "cleaning"]
+FAMILIES = ["traffic", "search", "cleaning", "ingest", "dedup"]
 
 
 def load():

@@ -26,10 +26,17 @@ def json_list(text: Column) -> Column:
     return F.coalesce(F.filter(parsed, lambda x: x.isNotNull() & (x != "")), none)
 
 
+def strict_json(text: Column) -> Column:
+    """Variant of a text that is exactly one JSON value; NULL otherwise (``try_parse_json`` ignores what follows)."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    items = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+
 def json_from_noise(text: Column, greedy: bool = False) -> Column:
     """First ``{...}`` inside other text as a variant; NULL when it is not JSON."""
     pattern = r"(?s)(\{.*\})" if greedy else r"(?s)(\{.*?\})"
-    return F.try_parse_json(blank_to_null(F.regexp_extract(text, pattern, 1)))
+    return strict_json(blank_to_null(F.regexp_extract(text, pattern, 1)))
 
 
 def infer_intent(terminated_by: Column, tool_calls: Column, message: Column) -> Column:

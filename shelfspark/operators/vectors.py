@@ -233,7 +233,8 @@ def _cells(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     l_blocks, r_blocks = F.floor(packed / 1_000_000), packed % 1_000_000
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
     left = left.select("id", "embedding", "cell", F.pmod(F.xxhash64("id"), l_blocks).alias("_l"), spread(r_blocks).alias("_r"))
-    right = right.select("id", "embedding", "cell", F.pmod(F.xxhash64("id"), r_blocks).alias("_r"), spread(l_blocks).alias("_l"))
+    # Both sides may stem from one table: new names keep their columns apart.
+    right = right.select(F.col("id").alias("other"), F.col("embedding").alias("other_embedding"), "cell", F.pmod(F.xxhash64("id"), r_blocks).alias("_r"), spread(l_blocks).alias("_l"))
     return left, right
 
 
@@ -255,9 +256,9 @@ def lowest_neighbour(left: DataFrame, right: DataFrame, threshold: float) -> Dat
         out = to_arrow_schema(schema)
         if a.num_rows == 0 or b.num_rows == 0:
             return out.empty_table()
-        a_ids, b_ids = _ids(a["id"]), _ids(b["id"])
+        a_ids, b_ids = _ids(a["id"]), _ids(b["other"])
         order = np.argsort(b_ids, kind="stable")
-        near = _cosines(_matrix(a["embedding"]), _matrix(b["embedding"])[order]) >= threshold
+        near = _cosines(_matrix(a["embedding"]), _matrix(b["other_embedding"])[order]) >= threshold
         near &= a_ids[:, None] != b_ids[order][None, :]
         hit = near.any(axis=1)
         found = b_ids[order][near.argmax(axis=1)]
@@ -286,8 +287,8 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.95, k: int = 5
         out = to_arrow_schema(schema)
         if a.num_rows == 0 or b.num_rows == 0:
             return out.empty_table()
-        a_ids, b_ids = _ids(a["id"]), _ids(b["id"])
-        scores = _cosines(_matrix(a["embedding"]), _matrix(b["embedding"]))
+        a_ids, b_ids = _ids(a["id"]), _ids(b["other"])
+        scores = _cosines(_matrix(a["embedding"]), _matrix(b["other_embedding"]))
         rows = {"id": [], "neighbour": [], "similarity": []}
         for row in np.flatnonzero((scores >= threshold).any(axis=1)):
             near = np.flatnonzero((scores[row] >= threshold) & (b_ids != a_ids[row]))

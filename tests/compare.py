@@ -51,8 +51,9 @@ def compare(df, con, sql):
         return f"columns {got[0]} != {want[0]}"
     if want[1] == got[1]:
         return "" if want[1] else "both empty"
-    missing = [r for r in want[1] if r not in set(got[1])][:3]
-    extra = [r for r in got[1] if r not in set(want[1])][:3]
+    got_set, want_set = set(got[1]), set(want[1])
+    missing = [r for r in want[1] if r not in got_set][:3]
+    extra = [r for r in got[1] if r not in want_set][:3]
     return f"rows {len(got[1])} != {len(want[1])}\n   wanted {missing}\n   got    {extra}"
 
 
