@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["traffic", "search", "cleaning", "ingest", "dedup"]
+FAMILIES = ["traffic", "search", "cleaning", "ingest", "dedup", "profiles", "streams"]
 
 
 def load():

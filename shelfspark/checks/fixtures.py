@@ -87,6 +87,19 @@ SELECT store_id, concat(CASE store_id % 9 WHEN 0 THEN 'FOX ' WHEN 1 THEN 'fox ho
        CASE WHEN store_id % 5 = 0 AND name_en IS NOT NULL THEN concat('cofix ', name_en) ELSE name_en END AS name_en,
        partner_url, store_category, is_online, city, region, address, lat, lng
 FROM v_stores""",
+    # Golden queries and their recorded responses, flat.
+    "v_gold": """
+SELECT event_id, concat('g', cast(event_id AS varchar(20))) AS id, event_type AS expected_intent, event_id % 5 = 0 AS expected_needs_location,
+  event_id % 3 <> 0 AS expected_has_results, CASE WHEN event_id % 4 = 0 THEN concat('BRAND#', cast(event_id % 25 AS varchar(20))) END AS expected_brand,
+  CASE WHEN event_id % 6 = 0 THEN concat('nation_', cast(event_id % 7 AS varchar(20))) END AS expected_city,
+  CASE WHEN event_id % 5 = 1 THEN 100e0 + event_id % 50 END AS expected_max_price,
+  CASE event_id % 8 WHEN 0 THEN 'F-01 x' WHEN 1 THEN 'see F-02/F-03' WHEN 2 THEN 'Sally' WHEN 3 THEN 'Edge' WHEN 4 THEN 'Help me' WHEN 5 THEN 'English'
+    WHEN 6 THEN 'Clarify' ELSE '' END AS notes,
+  event_id % 50 <> 7 AS answered, CASE WHEN event_id % 9 = 0 THEN 'other' ELSE event_type END AS intent, event_id % 10 = 0 AS needs_location,
+  event_id % 3 AS products, event_id % 2 AS stores, concat('Brand#', cast(event_id % 24 AS varchar(20))) AS top_brand, 100e0 + event_id % 60 AS top_price,
+  concat('NATION_', cast(event_id % 8 AS varchar(20))) AS top_city, CASE WHEN event_id % 11 = 0 THEN 'sorry, no results found' ELSE 'ok' END AS message,
+  CASE WHEN event_id % 40 = 3 THEN 'timeout' END AS error, value * 100 AS latency_ms, event_id % 3 AS wanted_kind, event_id % 4 AS called_kind
+FROM events""",
     # One query per (first word, brand) combination found in the catalogue.
     "v_queries": """
 SELECT concat('q', cast(min(p_partkey) AS varchar(20))) AS query_id, p_name AS search_text,

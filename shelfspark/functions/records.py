@@ -42,8 +42,8 @@ def json_from_noise(text: Column, greedy: bool = False) -> Column:
 def infer_intent(terminated_by: Column, tool_calls: Column, message: Column) -> Column:
     """Intent of a turn from how it ended and which tools answered without error."""
     answered = F.transform(
-        F.filter(F.coalesce(tool_calls, F.array().cast(TOOL_CALLS_TYPE)), lambda c: F.coalesce(c.error, F.lit("")) == ""),
-        lambda c: c.name,
+        F.filter(F.coalesce(tool_calls, F.array().cast(TOOL_CALLS_TYPE)), lambda c: F.coalesce(c.getField("error"), F.lit("")) == ""),
+        lambda c: c.getField("name"),
     )
     return (
         F.when(terminated_by.isin("error", "safety_blocked", "empty_response"), "error")
@@ -60,9 +60,9 @@ def asks_for_location(tool_calls: Column) -> Column:
     return F.coalesce(
         F.exists(
             tool_calls,
-            lambda c: (c.name == "clarify")
-            & (F.coalesce(c.error, F.lit("")) == "")
-            & contains_any(F.try_element_at(c.args, F.lit("question")), rules.LOCATION_WORDS),
+            lambda c: (c.getField("name") == "clarify")
+            & (F.coalesce(c.getField("error"), F.lit("")) == "")
+            & contains_any(F.try_element_at(c.getField("args"), F.lit("question")), rules.LOCATION_WORDS),
         ),
         F.lit(False),
     )

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.operators.joins import price_changes
 from shelfspark.operators.upserts import upsert_listings
@@ -146,7 +147,7 @@ def run_available(result: DataFrame, keys: list[str] | None = None, mode: str =
         writer.outputMode("append").format("parquet").option("path", folder).start().awaitTermination()
         return spark.read.schema(result.schema).parquet(folder)
     writer.outputMode(mode).foreachBatch(write_updates(folder)).start().awaitTermination()
-    schema = result.schema.add("batch", "int")
+    schema = T.StructType([*result.schema.fields, T.StructField("batch", T.IntegerType())])
     return latest(spark.read.schema(schema).parquet(folder), keys or [])
 
 
