@@ -209,11 +209,12 @@ def _(t):
 
 
 @check("s16_quarantine_and_restore", """
-SELECT listing_id, CASE WHEN price = 999999 OR price <= 0 THEN NULL ELSE price END AS cleaned, price AS restored FROM v_listings""")
+SELECT 'clean' AS state, listing_id, CASE WHEN price = 999999 OR price <= 0 THEN NULL ELSE price END AS price FROM v_listings UNION ALL SELECT 'restored', listing_id, price FROM v_listings""")
 def _(t):
     clean, saved = quarantine.quarantine(t.listings, filters.bogus_price_targets(t.listings), "listing_id", "price")
     back = quarantine.restore(clean, saved, "listing_id", "price")
-    return clean.select("listing_id", F.col("price").alias("cleaned")).join(back.select("listing_id", F.col("price").alias("restored")), "listing_id")
+    shown = lambda df, state: df.select(F.lit(state).alias("state"), "listing_id", "price")
+    return shown(clean, "clean").unionByName(shown(back, "restored"))
 
 
 @check("c07_price_cleanup", f"""

@@ -322,7 +322,7 @@ def _(t):
 @check("u01_tiered_merge", f"{core()} SELECT query_id, product_id, store_id, tier, round(sim, 6) AS similarity FROM merged")
 def _(t):
     asked = queries(t)
-    merged = ps.tiered_merge(ps.keyword_branch(asked, t.listings, t.products), ps.vector_branch(asked, t.listings, items(t)))
+    merged = ps.search_rows(asked, t.listings, t.products, items(t))
     return merged.select("query_id", "product_id", "store_id", "tier", F.round("similarity", 6).alias("similarity"))
 
 

@@ -52,7 +52,7 @@ def embedding_worklist(products: DataFrame, listings: DataFrame, limit: int | No
 def products_of_store(products: DataFrame, listings: DataFrame, stores: DataFrame) -> DataFrame:
     """Products listed in any of the given stores."""
     held = listings.join(stores.select("store_id"), "store_id", "left_semi")
-    return products.join(held.select("product_id"), "product_id", "left_semi")
+    return products.join(held.select("product_id").distinct(), "product_id", "left_semi")
 
 
 def imported_session_users(users: DataFrame, searches: DataFrame, grace: str = "5 minutes") -> DataFrame:

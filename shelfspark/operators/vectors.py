@@ -273,8 +273,30 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.95, k: int = 5
     """The k nearest neighbours of each vector at or above the threshold: ``id, neighbour, similarity, rank``.
 
     The list per row is the feature here (a review list, ties by id); grouping
-    duplicates does not go through it and has no such bound.
+    duplicates does not go through it and has no such bound. Exact copies are compared
+    once: the k+1 lowest ids of a copied vector are all that any list can show of it, and
+    the k nearest distinct vectors are all a list can need.
     """
+    from shelfspark.operators.ranking import rank_within, top_n
+
+    usable = vectors.select("id", "embedding").where(
+        "embedding IS NOT NULL AND size(embedding) > 0 AND exists(embedding, x -> x <> 0)"
+    )
+    copies = usable.groupBy("embedding").agg(F.min("id").alias("rep"))
+    members = usable.join(copies, "embedding").select("id", "rep")
+    shown = top_n(members, ["rep"], [F.col("id")], k + 1).select(F.col("rep").alias("other_rep"), F.col("id").alias("neighbour"))
+    distinct = _nearest_distinct(copies.select(F.col("rep").alias("id"), "embedding"), threshold, k)
+    near = distinct.select(F.col("id").alias("rep"), F.col("neighbour").alias("other_rep"), "similarity")
+    own = copies.select("rep", F.col("rep").alias("other_rep"), F.lit(1.0).alias("similarity"))
+    # One list per distinct vector, one longer than asked so that a member can skip itself.
+    order = [F.desc("similarity"), F.col("neighbour")]
+    lists = top_n(near.unionByName(own).join(shown, "other_rep"), ["rep"], order, k + 1).drop("rank", "other_rep")
+    mine = members.join(lists, "rep").where("id <> neighbour").select("id", "neighbour", "similarity")
+    return rank_within(mine, ["id"], order).where(F.col("rank") <= k)
+
+
+def _nearest_distinct(vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``id, neighbour, similarity`` of the k nearest among distinct vectors."""
     placed = place(vectors, threshold)
     id_type = placed.schema["id"].dataType
     schema = T.StructType([
@@ -302,7 +324,7 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.95, k: int = 5
 
     a, b = _cells(placed, placed)
     pairs = a.groupBy(*_KEYS).cogroup(b.groupBy(*_KEYS)).applyInArrow(nearest, schema)
-    return top_n(pairs, ["id"], [F.desc("similarity"), F.col("neighbour")], k)
+    return top_n(pairs, ["id"], [F.desc("similarity"), F.col("neighbour")], k).drop("rank")
 
 
 def match_to_masters(candidates: DataFrame, masters: DataFrame, threshold: float = 0.92) -> DataFrame:

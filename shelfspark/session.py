@@ -18,6 +18,10 @@ SESSION_CONF = {
 }
 
 
+# Scratch folder of a local session that names none.
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "shelfspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs expect; cluster settings win over ours."""
     builder = SparkSession.builder.appName(app)
@@ -29,14 +33,14 @@ def build_session(app: str = "shelfspark", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-shelfspark-")
-    spark.sparkContext.setCheckpointDir(folder)
+    folder = _LOCAL.get("folder") or tempfile.mkdtemp(prefix="spark-shelfspark-")
+    _LOCAL["folder"] = folder
     return folder
 
 
@@ -46,8 +50,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and stops plans of loops from growing."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    The result survives lost executors, stops plans of loops from growing, and has a
+    known size, so that later joins broadcast it only when it is small.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
