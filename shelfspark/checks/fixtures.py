@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.operators.joins import listings_wide
+
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -167,6 +169,14 @@ class Tables:
             df.createOrReplaceTempView(name)
         return self.spark.sql(statement)
 
+    @property
+    def listings_wide(self) -> DataFrame:
+        """The star join built by the operator; its SQL form serves the checks."""
+        products = self.products.select("product_id", "canonical_name", F.col("brand").alias("product_brand"), "category_path")
+        stores = self.stores.select("store_id", "name_he", "name_en", "partner_url", "is_online", "city", "lat", "lng")
+        listings = self.listings.select("listing_id", "product_id", "store_id", "price", "currency", "availability", "product_url")
+        return listings_wide(listings, products, stores)
+
     @property
     def traced(self) -> DataFrame:
         """Traces with their tool call as the stored array."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import rules
 from shelfspark.functions.numbers import flat_earth_km
 from shelfspark.functions.text import blank_to_null
+from shelfspark.session import small_side
 
 
 def as_column(value) -> Column:
@@ -139,7 +140,7 @@ def installment_targets(
 ) -> DataFrame:
     """Priced listings below ``limit`` in the named stores, with the store name."""
     named = stores.where(F.col("name_he").isin(names)).select("store_id", "name_he")
-    return listings.where(F.col("price") < limit).join(named, "store_id")
+    return listings.where(F.col("price") < limit).join(small_side(named), "store_id")
 
 
 def brand_candidates(products: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Joins of the catalogue, the traffic tables and their worklists.
 
-No broadcast is forced: Spark broadcasts a side only when its size is below
-``spark.sql.autoBroadcastJoinThreshold`` and splits skewed partitions otherwise.
+A side is broadcast only behind a check of its size: ``small_side`` counts the rows of
+the store dimension, everywhere else Spark's own threshold decides. Skewed partitions of
+shuffled joins are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.session import small_side
+
 
 def listings_wide(listings: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
     """Listings with their product and store."""
-    return listings.join(products, "product_id").join(stores, "store_id")
+    return listings.join(products, "product_id").join(small_side(stores), "store_id")
 
 
 def stores_with_counts(stores: DataFrame, listings: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def first_store_category(products: DataFrame, listings: DataFrame, stores: DataF
     per product.
     """
     first = listings.groupBy("product_id").agg(F.min_by("store_id", "listing_id").alias("store_id"))
-    category = first.join(stores.select("store_id", "store_category"), "store_id").drop("store_id")
+    category = first.join(small_side(stores.select("store_id", "store_category")), "store_id").drop("store_id")
     return products.join(category.withColumnRenamed("store_category", "first_store_category"), "product_id", "left")
 
 
@@ -51,7 +54,7 @@ def embedding_worklist(products: DataFrame, listings: DataFrame, limit: int | No
 
 def products_of_store(products: DataFrame, listings: DataFrame, stores: DataFrame) -> DataFrame:
     """Products listed in any of the given stores."""
-    held = listings.join(stores.select("store_id"), "store_id", "left_semi")
+    held = listings.join(small_side(stores.select("store_id")), "store_id", "left_semi")
     return products.join(held.select("product_id").distinct(), "product_id", "left_semi")
 
 

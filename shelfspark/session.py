@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,3 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast a dimension whose row count is checked to be small; a larger one is left to Spark's own choice.
+
+    Size estimates of derived tables are often far too high, and a shuffle of the fact
+    table by a dimension key would put a hot store or product into one partition. The
+    check reads at most ``rows`` + 1 rows of the dimension; pass narrow rows only.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
