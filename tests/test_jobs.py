@@ -247,3 +247,18 @@ def test_shared_folder_is_the_sessions_own(spark):
     with pytest.raises(RuntimeError):
         shared_folder(Session)  # a cluster without a shared folder
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_task_functions_need_no_package_on_the_workers(tmp_path):
+    """A worker started elsewhere can load what the tasks run."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    payload = cloudpickle.dumps(vectors._best)
+    code = "import pickle, sys, numpy as np; f = pickle.loads(sys.stdin.buffer.read()); print(f(np.array([1.0, 3.0, 3.0]), np.array([5, 9, 2]), 2).tolist())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], input=payload, capture_output=True, cwd=tmp_path, env=env, timeout=60)
+    assert done.stdout.decode().strip() == "[2, 1]"
