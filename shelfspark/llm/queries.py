@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfspark.llm.secrets import scan_secrets
 from shelfspark.llm.token_counts import token_counts
+from shelfspark.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +34,69 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op8_token_counts")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _spans_sql(kind: int, pattern: str, group: int) -> str:
+    """Match spans of a pattern as structs, from the pieces between the matches."""
+    gaps, found = f"string_split_regex(t, '{pattern}')", f"regexp_extract_all(t, '{pattern}', 0)"
+    values = f"regexp_extract_all(t, '{pattern}', {group})"
+    return f"""
+list_transform(range(1, len({found}) + 1), lambda k: {{
+  'start': (coalesce(list_sum(list_transform({gaps}[1:k], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform({found}[1:k-1], lambda x: length(x))), 0))::INT,
+  'kind': {kind}, 'size': length({found}[k])::INT, 'value': {values}[k]}})"""
+
+
+def _letters(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+# RE2 would fold other letters into a (?i) group, so both cases are spelled out.
+_WORDS = "|".join(_letters(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN_SQL = f"""(?:{_WORDS})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""".replace("\\\\", "\\")
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner,
+                  coalesce(source, '') || chr(1) || coalesce(lang, '') AS repo FROM documents),
+raw AS (SELECT doc_id, owner, repo,
+  list_filter({_spans_sql(0, _ASSIGN_SQL, 1)}, lambda s: length(s.value) >= 6) AS a,
+  list_filter({_spans_sql(1, "AKIA[A-Z0-9]+", 0)}, lambda s: s.size >= 20) AS k,
+  {_spans_sql(2, "[0-9a-f]{24,}", 0)} AS h,
+  list_filter({_spans_sql(3, "[A-Za-z0-9+/_=-]{20,}", 0)},
+              lambda s: regexp_matches(s.value, '[0-9]') AND regexp_matches(s.value, '[A-Za-z]')) AS w FROM d),
+b AS (SELECT *, list_sort(list_concat(list_concat(a, k), h)) AS base FROM raw),
+f AS (SELECT *, list_filter(w, lambda c: len(list_filter(base, lambda x: x.start < c.start + c.size AND c.start < x.start + x.size)) = 0) AS free FROM b),
+spans AS (SELECT doc_id, owner, repo, unnest(list_concat(base, free)) AS s FROM f),
+standing AS (SELECT s.value AS v, count(DISTINCT owner) AS owners FROM spans GROUP BY 1),
+told AS (SELECT doc_id, s.kind AS kind, s.start AS start, owners,
+                ['assign', 'access', 'hex', 'owned'][s.kind + 1] || ':' || s.start || ':' || (s.start + s.size) AS txt
+         FROM spans JOIN standing ON s.value = v)
+SELECT f.doc_id, len(a)::BIGINT AS n_assign, len(k)::BIGINT AS n_access, len(h)::BIGINT AS n_hex,
+  sha256(coalesce((SELECT string_agg(txt, ',' ORDER BY start, kind) FROM told WHERE told.doc_id = f.doc_id AND kind < 3), '')) AS base_sha256,
+  coalesce((SELECT string_agg(txt, ',' ORDER BY start, kind) FROM told WHERE told.doc_id = f.doc_id AND (kind < 3 OR owners = 1)), '') AS spans,
+  (SELECT count(*) FROM told WHERE told.doc_id = f.doc_id AND kind = 3 AND owners = 1) AS n_owned,
+  (SELECT count(*) FROM told WHERE told.doc_id = f.doc_id AND kind < 3 AND owners = 1) AS n_live,
+  (SELECT count(*) FROM told WHERE told.doc_id = f.doc_id AND kind < 3 AND owners >= 3) AS n_example
+FROM f"""
+
+
+@query("op2_secret_scan", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(table(spark, folder, "documents"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+t AS (SELECT payload_digest, max(page_id) AS top FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM d LEFT JOIN t ON d.payload_digest = t.payload_digest"""
+
+
+@query("op10_warc_archives", OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_pages(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
