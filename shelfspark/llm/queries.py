@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm.secrets import scan_secrets
+from shelfspark.llm.simhash import simhash_components
 from shelfspark.llm.token_counts import token_counts
 from shelfspark.llm.warc import archive_pages
 
@@ -100,3 +101,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return archive_pages(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op7_simhash_near_duplicates")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_components(table(spark, folder, "documents"))
