@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfspark.llm.decontaminate import decontaminate
 from shelfspark.llm.secrets import scan_secrets
 from shelfspark.llm.simhash import simhash_components
 from shelfspark.llm.token_counts import token_counts
@@ -106,3 +107,29 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_simhash_near_duplicates")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"))
+
+
+# Words and windows as the contract has them, without fingerprints.
+OP3_SQL = r"""
+WITH
+dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+win AS (SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i+9], ' '))) AS g
+        FROM iw WHERE len(w) > 0),
+size AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'p': i, 'g': array_to_string(w[i:i+n-1], ' ')})) AS x
+        FROM dw, size WHERE len(w) >= n),
+hit AS (SELECT doc_id, item_id, x.p AS p, win.n FROM pos JOIN win ON win.g = x.g AND win.n = pos.n),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id"""
+
+
+@query("op3_benchmark_decontamination", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
