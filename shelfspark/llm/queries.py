@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfspark.llm.decontaminate import decontaminate
+from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.secrets import scan_secrets
 from shelfspark.llm.simhash import simhash_components
 from shelfspark.llm.token_counts import token_counts
@@ -133,3 +135,31 @@ FROM dw d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN names ON names.do
 @query("op3_benchmark_decontamination", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
+
+
+OP1_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line
+           FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> ''),
+             lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+k AS (SELECT doc_id, pos, w, len(w) AS n, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf, array_to_string(w, ' ') AS skel FROM t WHERE len(w) >= 4),
+s AS (SELECT leaf, skel, count(DISTINCT doc_id) AS docs, any_value(w) AS w FROM k GROUP BY leaf, skel),
+o AS (SELECT leaf, count(*) AS kinds FROM s GROUP BY leaf HAVING sum(docs) >= 3),
+x AS (SELECT s.leaf, skel, docs, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS i FROM s JOIN o ON o.leaf = s.leaf WHERE kinds > 1),
+u AS (SELECT leaf, i, token, sum(docs) AS support FROM x GROUP BY ALL),
+v AS (SELECT x.leaf, skel, list(CASE WHEN x.i <= 3 OR support >= 3 THEN x.token ELSE '<*>' END ORDER BY x.i) AS w
+      FROM x JOIN u ON u.leaf = x.leaf AND u.i = x.i AND u.token = x.token GROUP BY ALL),
+m AS (SELECT doc_id, pos, k.leaf, coalesce(v.w, k.w) AS w, n FROM k JOIN o ON o.leaf = k.leaf LEFT JOIN v ON v.leaf = k.leaf AND v.skel = k.skel),
+f AS (SELECT doc_id, pos, leaf || '|' || array_to_string(w, ' ') AS tpl FROM m WHERE len(list_filter(w, lambda y: y <> '<*>')) >= ceil(n * 0.6)),
+r AS (SELECT tpl, min((doc_id, pos)) AS first FROM f GROUP BY tpl HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT doc_id, list(pos) AS gone FROM f JOIN r ON r.tpl = f.tpl WHERE (doc_id, pos) <> first GROUP BY doc_id)
+SELECT c.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+  sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce((SELECT string_agg(line, chr(10) ORDER BY pos) FROM l
+         WHERE l.doc_id = c.doc_id AND NOT list_contains(gone, l.pos)), '') END) AS kept_sha256
+FROM documents c LEFT JOIN d ON d.doc_id = c.doc_id"""
+
+
+@query("op1_line_dedup", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
