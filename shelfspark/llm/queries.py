@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.llm import mixing
 from shelfspark.llm.decontaminate import decontaminate
+from shelfspark.llm.language_id import language_ids
 from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.secrets import scan_secrets
 from shelfspark.llm.simhash import simhash_components
@@ -163,3 +165,50 @@ FROM documents c LEFT JOIN d ON d.doc_id = c.doc_id"""
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return language_ids(table(spark, folder, "documents"))
+
+
+def _mix_sql() -> str:
+    """The rounds of raking spelled out, one table each."""
+    topic = " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN '{name}'" for name, pattern in mixing.TOPICS)
+    steps, last = [], "w0"
+    for number in range(mixing.ROUNDS):
+        for name in mixing.DIMENSIONS:
+            new = f"w{number}_{name}"
+            steps.append(
+                f"{new} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {name}) > 0 "
+                f"THEN weight * to_{name} / sum(weight) OVER (PARTITION BY {name}) ELSE 0 END AS weight FROM {last})"
+            )
+            last = new
+    share = ", ".join(
+        f"pow((sum(tokens) OVER (PARTITION BY {n}))::DOUBLE, {mixing.EVENNESS[n]}) / (SELECT sum(pow(t::DOUBLE, {mixing.EVENNESS[n]})) FROM "
+        f"(SELECT sum(tokens) AS t FROM cells GROUP BY {n})) AS to_{n}" for n in mixing.DIMENSIONS
+    )
+    order = "pull DESC, source, lang, topic"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+  CASE {topic} ELSE 'general' END AS topic, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+w0 AS MATERIALIZED (SELECT *, tokens::DOUBLE AS weight, {share} FROM cells),
+{", ".join(steps)},
+q AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS pull FROM {last}),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS rank,
+  ((SELECT sum(tokens) * {mixing.RATE} FROM q) - coalesce(sum(tokens) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / ((SELECT sum(weight) FROM q) - coalesce(sum(weight) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS scale FROM q),
+p AS MATERIALIZED (SELECT source, lang, topic, weight, CASE WHEN pull > 0 THEN least(1.0, coalesce((SELECT arg_min(scale, rank) FROM r WHERE scale * pull <= 1) * pull, 1.0)) ELSE 0.0 END AS p FROM q)
+SELECT doc_id, d.topic, d.tokens AS n_tokens, round(weight, 6) AS weight, round(p, 6) AS p,
+  ('0x' || md5('{mixing.SEED}:' || doc_id)[1:8])::BIGINT / 4294967296.0 < round(p, 6) AS kept
+FROM d JOIN p ON p.source = d.source AND p.lang = d.lang AND p.topic = d.topic"""
+
+
+@query("op9_source_mixing", _mix_sql())
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select(
+        "doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"),
+        F.col("mix_p").alias("p"), F.col("mix_kept").alias("kept"),
+    )
