@@ -12,6 +12,7 @@ from shelfspark.llm import mixing
 from shelfspark.llm.decontaminate import decontaminate
 from shelfspark.llm.language_id import language_ids
 from shelfspark.llm.line_dedup import dedup_lines
+from shelfspark.llm.projected_search import nearest
 from shelfspark.llm.secrets import scan_secrets
 from shelfspark.llm.simhash import simhash_components
 from shelfspark.llm.token_counts import token_counts
@@ -212,3 +213,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"),
         F.col("mix_p").alias("p"), F.col("mix_kept").alias("kept"),
     )
+
+
+@query("op5_projected_search")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0").select("vec_id"))
