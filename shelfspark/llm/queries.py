@@ -13,6 +13,7 @@ from shelfspark.llm.decontaminate import decontaminate
 from shelfspark.llm.language_id import language_ids
 from shelfspark.llm.line_dedup import dedup_lines
 from shelfspark.llm.projected_search import nearest
+from shelfspark.llm.repeated_spans import repeated_spans
 from shelfspark.llm.secrets import scan_secrets
 from shelfspark.llm.simhash import simhash_components
 from shelfspark.llm.token_counts import token_counts
@@ -219,3 +220,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0").select("vec_id"))
+
+
+@query("op4_repeated_spans")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans(table(spark, folder, "documents")).drop("spans")
