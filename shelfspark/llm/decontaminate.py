@@ -169,6 +169,7 @@ def decontaminate(
     text_col: str = "text",
     window: int = WINDOW,
     gram: int = GRAM,
+    keep_hash: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans``.
 
@@ -177,12 +178,14 @@ def decontaminate(
     runs of hit words, as ``low, high`` word positions, end exclusive. Null texts and texts
     without words have no words and no hits; items without words match nothing; repeated
     rows on either side give repeated or equal results; a null item_id takes part in hits
-    but is no name in ``items_sha256``. Empty tables give no rows or no hits.
+    but is no name in ``items_sha256``. Empty tables give no rows or no hits. With
+    ``keep_hash`` a column ``text_hash`` (xxhash64 of the text's bytes) tells rows of one id
+    apart.
     """
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
     read = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash")
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit("")).cast("binary")).alias("text_hash")
     )
     items = cut_lineage(benchmark.select("item_id", word_hashes(F.col("text")).alias("words")))
     hits = benchmark_hits(read, items, window, gram).distinct()
@@ -211,5 +214,5 @@ def decontaminate(
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<low:int,high:int>>"))).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("names", F.array().cast("array<string>")), ","), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"), "spans",
+        (n_hit > 0).alias("contaminated"), "spans", *(["text_hash"] if keep_hash else []),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,3 +226,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_repeated_spans")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans(table(spark, folder, "documents")).drop("spans")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

@@ -11,6 +11,7 @@ a spanning forest of its links, from which the components are found.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,41 +33,63 @@ PIECE = 8_192
 PAIRS_AT_ONCE = 2_000_000
 
 
-def fingerprint(raw: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a UTF-8 text as an unsigned number; 0 without words."""
+def fingerprint(raw: bytes, words: int = SHINGLE_WORDS, seed: int = SEED, longs: int = 1) -> np.ndarray:
+    """The fingerprint of a UTF-8 text as ``longs`` unsigned 64-bit numbers; 0 without words.
+
+    The first number is the majority of the shingles' own hashes, the others are those of
+    numbers mixed from them.
+    """
     found = raw.lower().split()  # of bytes: A-Z and ASCII white space only
     if not found:
-        return 0
+        return np.zeros(longs, np.uint64)
     digest = xxhash.xxh64_intdigest
-    counts, total = np.zeros(64, np.int64), max(1, len(found) - words + 1)
+    counts, total = np.zeros((longs, 64), np.int64), max(1, len(found) - words + 1)
     for part in range(0, total, 1 << 16):
-        hashes = [digest(b" ".join(found[i : i + words]), seed) for i in range(part, min(total, part + (1 << 16)))]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+        hashes = np.array(
+            [digest(b" ".join(found[i : i + words]), seed) for i in range(part, min(total, part + (1 << 16)))], dtype="<u8"
+        )
+        for j in range(longs):
+            mixed = hashes
+            if j:
+                mixed = (hashes ^ np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+                mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+                mixed ^= mixed >> np.uint64(29)
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[j] += bits.sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp``: one row per row of ``docs``; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, longs: int = 1
+) -> DataFrame:
+    """``doc_id, text_hash, fp``: one row per row of ``docs``; ``fp`` is an array of signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py() or b"", words) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(x.as_py() or b"", words, SEED, longs).view(np.int64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp"]
+            )
+
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("raw"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp array<bigint>")
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class Forest:
     """BK-trees over ``values``, one for each value of ``groups``, built level by level.
 
-    ``child[(node, distance)]`` is kept as sorted keys node * 65 + distance, so that the
-    edges of a range of distances are a slice.
+    ``values`` has a row of 64-bit numbers per fingerprint. Edges are kept as sorted keys
+    node * (bits + 1) + distance, so that those of a range of distances are a slice.
     """
 
     def __init__(self, values: np.ndarray, groups: np.ndarray):
         self.values, n = values, len(values)
+        self.step = 64 * values.shape[1] + 1
         _, first = np.unique(groups, return_index=True)
         order = np.argsort(groups, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) != 0]) if n else np.array([], np.int64)
@@ -76,7 +99,7 @@ class Forest:
         left = np.setdiff1d(np.arange(n), first, assume_unique=True)
         at = self.roots[left]
         while len(left):
-            edge = at * 65 + np.bitwise_count(values[left] ^ values[at])
+            edge = at * self.step + bits_apart(values[left], values[at])
             new, where = np.unique(edge, return_index=True)
             keys.append(new)
             nodes.append(left[where])
@@ -98,12 +121,12 @@ class Forest:
                 half = len(who) // 2
                 stack += [(who[:half], at[:half]), (who[half:], at[half:])]
                 continue
-            distance = np.bitwise_count(queries[who] ^ self.values[at]).astype(np.int64)
+            distance = bits_apart(queries[who], self.values[at])
             hit = distance <= radius
             if hit.any():
                 yield who[hit], at[hit]
-            low = np.searchsorted(self.keys, at * 65 + np.maximum(distance - radius, 0))
-            high = np.searchsorted(self.keys, at * 65 + np.minimum(distance + radius, 64), side="right")
+            low = np.searchsorted(self.keys, at * self.step + np.maximum(distance - radius, 0))
+            high = np.searchsorted(self.keys, at * self.step + np.minimum(distance + radius, self.step - 1), side="right")
             count = high - low
             total = int(count.sum())
             if total:
@@ -132,32 +155,57 @@ def _shards(blocks: int, radius: int) -> list[int]:
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, piece: int = PIECE) -> DataFrame:
-    """``a, b``: links between the distinct values of ``prints.fp`` that span their components.
+    """``a, b``: links between the distinct values of ``prints.fp`` (one long) that span their components.
 
     Every pair within the radius is joined by links of its shard. More ``blocks`` than the
     radius make shards smaller and more numerous: 6 blocks for up to 10^8 fingerprints,
-    8 (70 shards of 32 bits each) beyond. A shard of more than ``piece`` members is cut
-    into pieces; each piece is a tree that all members of the shard search.
+    8 (70 shards of 32 bits each) beyond.
     """
     if blocks <= radius:
         raise ValueError("blocks must be more than the radius")
-    masks = _shards(blocks, radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in _shards(blocks, radius)]
+    first = F.element_at("fp", 1)
     distinct = prints.select("fp").where("fp IS NOT NULL").distinct()
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     dealt = distinct.select(
-        "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("shard", "part")
+        first.alias("node"), "fp", F.posexplode(F.array(*(first.bitwiseAND(F.lit(m)) for m in signed))).alias("shard", "part")
     )
+    return _links(dealt, 1, radius, piece)
+
+
+def banded_links(prints: DataFrame, longs: int, radius: int, band_bits: int, piece: int = PIECE) -> DataFrame:
+    """``a, b``: links between the hashes of the distinct values of ``prints.fp`` (``longs`` longs).
+
+    A wide radius leaves no block untouched, so shards are those that agree on one of the
+    bands of ``band_bits`` bits: a pair that differs in a share x of all bits is missed with
+    probability (1 - (1 - x)^band_bits)^bands. Wider bands make smaller shards.
+    """
+    distinct = prints.select("fp").where("fp IS NOT NULL").distinct()
+    whole = F.array_join(F.transform("fp", lambda x: F.lpad(F.bin(x), 64, "0")), "")
+    bands = 64 * longs // band_bits
+    dealt = distinct.select(F.xxhash64("fp").alias("node"), "fp", whole.alias("bits")).select(
+        "node", "fp",
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.col("bits").substr(i * band_bits + 1, F.lit(band_bits))))).alias("shard", "part"),
+    )
+    return _links(dealt, longs, radius, piece)
+
+
+def _links(dealt: DataFrame, longs: int, radius: int, piece: int) -> DataFrame:
+    """Links within the shards of ``dealt`` (``node, fp, shard, part``).
+
+    A shard of more than ``piece`` members is cut into pieces; each piece is a tree that all
+    members of the shard search.
+    """
     sizes = dealt.groupBy("shard", "part").agg(F.count("*").alias("n")).where("n > 1")
     full = dealt.join(sizes, ["shard", "part"]).withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     # Members of a cut shard search every piece and stand in one.
     sent = full.withColumn("own", own).select(
-        F.xxhash64("shard", "part").alias("shard_hash"), "fp", "own",
+        F.xxhash64("shard", "part").alias("shard_hash"), "node", "fp", "own",
         F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
-    ).select(F.xxhash64("shard_hash", "piece").alias("tree"), "fp", (F.col("own") == F.col("piece")).alias("stands"))
+    ).select(F.xxhash64("shard_hash", "piece").alias("tree"), "node", "fp", (F.col("own") == F.col("piece")).alias("stands"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for trees, values, stands in _whole_groups(batches):
+        for trees, names, values, stands in _whole_groups(batches, longs):
             node = np.flatnonzero(stands)
             forest = Forest(values[node], trees[node])
             named, first = np.unique(trees[node], return_index=True)
@@ -168,25 +216,22 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pi
                 for who, hit in forest.links(values[search], forest.roots[first[at[search]]], radius):
                     labels = merged(labels, search[who], node[hit])
             linked = np.flatnonzero(labels != np.arange(len(values)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[linked].view(np.int64)), pa.array(values[labels[linked]].view(np.int64))], names=["a", "b"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[labels[linked]])], names=["a", "b"])
 
     return (
         sent.repartition("tree").sortWithinPartitions("tree").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
     )
 
 
-def _whole_groups(
-    batches: Iterator[pa.RecordBatch], least: int = 50_000
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tree, value, stands) of sorted rows in portions that hold whole trees."""
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _whole_groups(batches: Iterator[pa.RecordBatch], longs: int, least: int = 50_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """(tree, node, fingerprint, stands) of sorted rows in portions that hold whole trees."""
+    kept: list[tuple[np.ndarray, ...]] = []
     rows = 0
     for batch in batches:
-        trees = batch.column(0).to_numpy(zero_copy_only=False)
-        kept.append((trees, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)))
-        rows += len(trees)
+        tree, node, stands = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        values = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, longs)
+        kept.append((tree, node, values, stands.astype(bool)))
+        rows += len(tree)
         if rows < least:
             continue
         joined = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
@@ -215,12 +260,43 @@ def simhash_components(
     null id gets the component of its fingerprint, null if no row there has an id. An empty
     table gives no rows; other columns play no part.
     """
-    prints = cut_lineage(fingerprints(docs, id_col, text_col, words))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    parts = connected_components(near_links(prints, radius, blocks)).select(F.col("node").alias("fp"), "component")
-    roots = classes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, words).select("doc_id", "fp"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.element_at("fp", 1))
+    parts = connected_components(near_links(prints, radius, blocks))
+    roots = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = roots.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = roots.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    named = roots.join(least, "component").select("node", "component_id")
+    return prints.withColumn("node", F.element_at("fp", 1)).join(named, "node").select(
+        "doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def similar_radius(similarity: float, bits: int, slack: float = 1.0) -> int:
+    """Differing bits that two shingle sets of this Jaccard similarity have on average, plus ``slack`` deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+
+
+def near_duplicate_keepers(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    similarity: float = 0.8,
+    longs: int = 8,
+    band_bits: int = 14,
+) -> DataFrame:
+    """``doc_id, text_hash`` of the document that stays of each group of near duplicates.
+
+    Fingerprints of ``longs`` 64-bit numbers link where their differing bits speak for a
+    Jaccard similarity of the shingle sets of ``similarity`` or more; groups are the
+    components. The least id stays (rows without an id come last, then the least text
+    hash); ``text_hash`` is xxhash64 of the text's bytes. Texts without words are copies of
+    one another. Rows that repeat id and text are one document.
+    """
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, words, longs).withColumn("node", F.xxhash64("fp")))
+    parts = connected_components(banded_links(prints, longs, similar_radius(similarity, 64 * longs), band_bits))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    classes = prints.groupBy("node").agg(first).join(parts, "node", "left")
+    kept = classes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    return kept.select("first.doc_id", "first.text_hash")
