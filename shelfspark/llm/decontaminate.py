@@ -100,8 +100,8 @@ def _short_hits(texts: DataFrame, shorts: DataFrame) -> DataFrame:
                     F.transform(
                         "lengths",
                         lambda n: F.transform(
-                            F.sequence(F.lit(0), F.size("words") - 1),
-                            lambda i: F.struct(
+                            "words",
+                            lambda w, i: F.struct(
                                 n.alias("n"), i.alias("at"),
                                 F.when(i + n <= F.size("words"), F.xxhash64(F.slice(F.col("words"), i + 1, n))).alias("print"),
                             ),

@@ -57,7 +57,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
         else:
             fitted = fitted.withColumn("given", F.pow(F.sum("tokens").over(of_value).cast("double"), EVENNESS[name]))
         totals = fitted.groupBy(name).agg(F.first("given").alias("given")).agg(F.sum("given").alias("total"))
-        fitted = fitted.crossJoin(F.broadcast(totals)).withColumn(f"to_{name}", F.col("given") / F.col("total")).drop("given", "total")  # one row
+        fitted = fitted.crossJoin(F.broadcast(totals)).withColumn(f"to_{name}", F.coalesce(F.try_divide("given", "total"), F.lit(0.0))).drop("given", "total")  # one row
     fitted = cut_lineage(fitted)
     for number in range(rounds):
         for name in DIMENSIONS:
@@ -81,8 +81,10 @@ def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
     sums = pulled.agg((F.sum("tokens") * rate).alias("budget"), F.sum("weight").alias("all_weight"))
     ranked = pulled.crossJoin(F.broadcast(sums)).withColumns(  # one row
         {
-            "scale": (F.col("budget") - F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-            / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
+            "scale": F.try_divide(
+                F.col("budget") - F.coalesce(F.sum("tokens").over(before), F.lit(0)),
+                F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
+            ),
             "rank": F.row_number().over(Window.orderBy(*order)),
         }
     )
