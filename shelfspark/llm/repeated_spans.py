@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from shelfspark.session import cut_lineage
 
 WIDTH = 50
-GRAM = 16
+GRAM = 24
 PIECE_BYTES = 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
-_BYTES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTES = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Odd factors of the substring hashes, one for each size.
+_FACTOR = {int(i): np.uint64(int(x) | 1) for i, x in enumerate(np.random.default_rng(51).integers(0, 1 << 64, 256, dtype=np.uint64))}
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,10 +57,15 @@ def window_hashes(raw: bytes, width: int, gram: int) -> tuple[np.ndarray, np.nda
         if size not in by_size:
             half = 1 << (size - 1).bit_length() - 1
             part = of(half)
-            by_size[size] = _mix(part[: n - size + 1], part[size - half : size - half + n - size + 1])
+            joined = part[: n - size + 1] * _FACTOR[size % 256]
+            joined += part[size - half : size - half + n - size + 1]
+            by_size[size] = joined
         return by_size[size]
 
-    low, span, size = of(gram), width - gram + 1, 1
+    low = of(gram) ^ (of(gram) >> np.uint64(31))
+    low *= _C
+    low ^= low >> np.uint64(29)
+    span, size = width - gram + 1, 1
     whole = of(width)
     while size * 2 <= span:
         low = np.minimum(low[:-size], low[size:])
@@ -79,8 +86,8 @@ def runs(raw: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.
     """(digit, hash of the covered bytes, first window, windows) of each run of a text."""
     out = []
     for at, whole, low in pieces(raw, width, gram):
-        starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        ends = np.r_[starts[1:], len(low)]
+        starts = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+        ends = np.concatenate([starts[1:], [len(low)]])
         if (ends - starts).max() > width:  # what two windows at its ends cover is at most this long
             place = np.arange(len(low)) - np.repeat(starts, ends - starts)
             starts = np.flatnonzero(place % width == 0)
@@ -216,7 +223,7 @@ def repeated_spans(
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_chunks, n_buckets = 3 * parts, 4 * parts
+    n_chunks, n_buckets = 2 * parts, parts
     buckets = np.uint64(n_buckets)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     chunked = docs.select(
@@ -273,7 +280,7 @@ def repeated_spans(
         _, open_ = held.settle(_verdicts(told, 2))
         keys, row, _ = held.windows(open_)
         keys, least, _ = least_by(keys, np.array([i or 0 for i in held.ids], np.int64)[row])
-        return _dealt(_chunk_of(key, table, told), (keys % buckets).astype(np.int64), {"keys": keys, "least": least})
+        return _dealt(_chunk_of(key, table, told), ((keys >> np.uint64(32)) % buckets).astype(np.int64), {"keys": keys, "least": least})
 
     def last_bucket(table: pa.Table) -> pa.Table:
         keys, row = _unpacked(table, "keys", np.uint64)
@@ -302,11 +309,11 @@ def repeated_spans(
             raw = held.raw(i)
             edge = np.zeros(len(raw) + 1, np.int64)
             low, high = np.searchsorted(rows, [i, i + 1])
-            np.add.at(edge, places[low:high], 1)
-            np.add.at(edge, places[low:high] + width, -1)
+            edge[places[low:high]] += 1  # positions are distinct
+            edge[places[low:high] + width] -= 1
             low, high = np.searchsorted(run_rows, [i, i + 1])
-            np.add.at(edge, run_first[low:high], 1)
-            np.add.at(edge, run_first[low:high] + run_count[low:high] - 1 + width, -1)
+            edge[run_first[low:high]] += 1
+            edge[run_first[low:high] + run_count[low:high] - 1 + width] -= 1
             covered = np.cumsum(edge) > 0
             turns = np.flatnonzero(np.diff(np.r_[False, covered[:-1], False].astype(np.int8)))
             spans = turns.reshape(-1, 2)
