@@ -307,7 +307,7 @@ def as_of():
     return F.to_timestamp(F.lit("2030-01-01 00:00:00"))
 
 
-@check("s12_upsert_listings", f"""
+S12 = f"""
 WITH {LISTED},
 img AS (SELECT product_id, store_id, product_url, arg_max(image_url, listing_id) FILTER (WHERE image_url IS NOT NULL) AS image_url FROM feed WHERE product_url IS NOT NULL GROUP BY 1, 2, 3),
 f AS (SELECT feed.*, img.image_url AS last_image FROM feed JOIN img USING (product_id, store_id, product_url) WHERE back = 1)
@@ -316,9 +316,22 @@ SELECT cast(coalesce(f.product_id, tgt.product_id) AS varchar) AS product_id, co
  coalesce(f.listing_id, 'old') AS raw_name, coalesce(f.last_image, tgt.image_url) AS image_url, f.last_image IS NOT NULL AS image_set, CASE WHEN tgt.listing_id IS NULL THEN 'USD' ELSE 'ILS' END AS currency,
  tgt.listing_id IS NULL AS is_new
 FROM tgt FULL OUTER JOIN f ON f.product_id = tgt.product_id AND f.store_id = tgt.store_id AND f.product_url = tgt.product_url
-UNION ALL SELECT cast(product_id AS varchar), store_id, NULL, price, availability, listing_id, image_url, image_url IS NOT NULL, 'USD', true FROM feed WHERE product_url IS NULL""")
+UNION ALL SELECT cast(product_id AS varchar), store_id, NULL, price, availability, listing_id, image_url, image_url IS NOT NULL, 'USD', true FROM feed WHERE product_url IS NULL"""
+
+
+@check("s12_upsert_listings", S12)
 def _(t):
-    merged = upserts.upsert_listings(listing_target(t), listing_feed(t), as_of())
+    return _upserted(t, listing_feed(t))
+
+
+# Feeds of the REST kind have no currency: their rows still are feed rows.
+@check("s12_upsert_null_currency", S12.replace("'USD'", "cast(NULL AS varchar)"))
+def _(t):
+    return _upserted(t, listing_feed(t).withColumn("currency", F.lit(None).cast("string")))
+
+
+def _upserted(t, feed):
+    merged = upserts.upsert_listings(listing_target(t), feed, as_of())
     return merged.withColumn("image_set", F.col("image_url_updated_at").isNotNull()).drop("listing_id", "image_url_updated_at", "updated_at")
 
 

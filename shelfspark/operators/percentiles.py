@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
-_MARGIN = 3.0 / _ACCURACY
-# Groups up to this size are ranked whole; above it the margin spans many ranks.
-SMALL_GROUP = 100_000
+# Half widths of brackets as shares of a group: the narrowest that spans 3 ranks and the approximation's error holds the rank.
+_MARGINS = [5.0 / _ACCURACY, 3e-3, 3e-2, 3e-1, 1.0]
 
 
 def exact_percentiles(
@@ -20,23 +19,28 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per key with ``n`` and one column per named percent.
 
+    A rank that a bracket does not hold is an error, never a wrong answer.
     ``interpolate`` reads between the two ranks around ``(n-1)*p``; ``pick`` takes the
     value at 0-based index ``floor(n*p)``, the way report scripts index a sorted list.
     """
     df = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     keyed = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_k{i}") for i, k in enumerate(keys)] or [
-        F.lit(0).alias("_k0")
+        # One group: a literal key would be folded away and leave a nested loop.
+        F.when(F.col("_v").isNotNull(), 0).alias("_k0")
     ]
     df = df.select(*keys, "_v", *keyed)
     marks = [f"_k{i}" for i in range(len(keyed))]
     names = list(percents)
-    bounds = [b for p in percents.values() for b in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
+    bounds = [b for p in percents.values() for m in _MARGINS for b in (max(0.0, p - m), min(1.0, p + m))]
     brackets = df.groupBy(*marks).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("_v", bounds, _ACCURACY).alias("_b"),
         *[F.first(k).alias(k) for k in keys],
     )
 
+    chosen = F.lit(len(_MARGINS) - 1)
+    for i in reversed(range(len(_MARGINS) - 1)):
+        chosen = F.when(F.col("_n") * (_MARGINS[i] - 2.0 / _ACCURACY) >= 3, i).otherwise(chosen)
     targets = []
     for index, name in enumerate(names):
         p = percents[name]
@@ -45,8 +49,8 @@ def exact_percentiles(
         targets.append(
             F.struct(
                 F.lit(name).alias("name"),
-                F.when(F.col("_n") > SMALL_GROUP, F.col("_b")[2 * index]).otherwise(float("-inf")).alias("lo"),
-                F.when(F.col("_n") > SMALL_GROUP, F.col("_b")[2 * index + 1]).otherwise(float("inf")).alias("hi"),
+                F.get("_b", 2 * (index * len(_MARGINS) + chosen)).alias("lo"),
+                F.get("_b", 2 * (index * len(_MARGINS) + chosen) + 1).alias("hi"),
                 position.alias("position"),
             )
         )
@@ -64,6 +68,12 @@ def exact_percentiles(
         F.min(F.when(F.col("_end") > low, F.col("_v"))).alias("_lo_v"),
         F.min(F.when(F.col("_end") > F.ceil("position"), F.col("_v"))).alias("_hi_v"),
         F.first("position").alias("position"),
+        F.first(F.coalesce("_below", F.lit(0))).alias("_below"),
+        F.max("_end").alias("_last"),
+    )
+    outside = (F.col("_below") > low) | (F.col("_last") <= F.ceil("position"))
+    read = read.withColumn(
+        "_lo_v", F.when(outside, F.raise_error(F.lit("a percentile's rank lies outside its bracket"))).otherwise(F.col("_lo_v"))
     )
     answer = F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * (F.col("position") - low)
     wide = read.groupBy(*marks).agg(*[F.max(F.when(F.col("name") == name, answer)).alias(name) for name in names])

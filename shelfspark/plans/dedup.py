@@ -83,18 +83,23 @@ def deduplicate_catalog(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(products with ``is_duplicate``/``canonical_product_id``, listings re-pointed, stats).
 
-    A dry run reads the stats only; nothing is written here.
+    Products that an earlier run has marked keep their marks and take no part; without
+    these columns all products are undecided. A dry run reads the stats only; nothing is
+    written here.
     """
-    groups = cut_lineage(
-        group_canonical(
-            duplicate_groups(embeddings.select(F.col("product_id").alias("id"), "embedding"), threshold), listings
-        )
-    )
+    marks = ["is_duplicate", "canonical_product_id"]
+    undecided = embeddings.select(F.col("product_id").alias("id"), "embedding")
+    before = dict.fromkeys(marks, F.lit(None))
+    if set(marks) <= set(products.columns):
+        before = {c: F.col(c) for c in marks}
+        decided = products.where("is_duplicate").select(F.col("product_id").alias("id"))
+        undecided = undecided.join(decided, "id", "left_anti")
+    groups = cut_lineage(group_canonical(duplicate_groups(undecided, threshold), listings))
     mapping = groups.where("id <> canonical_id").select(F.col("id").alias("product_id"), "canonical_id")
     marked = products.join(mapping, "product_id", "left").select(
-        *products.columns,
-        F.col("canonical_id").isNotNull().alias("is_duplicate"),
-        F.col("canonical_id").alias("canonical_product_id"),
+        *[c for c in products.columns if c not in marks],
+        (F.col("canonical_id").isNotNull() | F.coalesce(before[marks[0]].cast("boolean"), F.lit(False))).alias(marks[0]),
+        F.coalesce("canonical_id", before[marks[1]].cast("bigint")).alias(marks[1]),
     )
     return marked, repoint_listings(listings, mapping), duplicate_stats(groups)
 
