@@ -141,5 +141,5 @@ WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings W
 SELECT q.query_id, m.product_id, round(list_cosine_similarity(q.e, m.e), 6) AS similarity FROM q, v_emb_dup m WHERE round(list_cosine_similarity(q.e, m.e), 9) >= 0.3""")
 def _(t):
     asked = t.embeddings.where("vec_id % 100 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    found = vectors.top_k_similar(asked, t.planted_vectors.withColumnRenamed("product_id", "item_id"), 5000, 0.3)
+    found = vectors.top_k_similar(asked, t.planted_vectors.withColumnRenamed("product_id", "item_id"), None, 0.3)
     return found.select("query_id", F.col("item_id").alias("product_id"), F.round("similarity", 6).alias("similarity"))

@@ -270,7 +270,7 @@ kw AS (SELECT * FROM (SELECT prod.query_id, pairs.*, sim, row_number() OVER (PAR
 vq AS (SELECT query_id, e.embedding::DOUBLE[] AS e FROM q JOIN embeddings e ON e.vec_id = q.vec_id),
 vec AS (SELECT * FROM (SELECT vq.query_id, pairs.*, round(list_cosine_similarity(vq.e, v.e), 9) AS sim,
    row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vq.e, v.e), 9) DESC, product_id, store_id) AS rn
-  FROM vq, v_vectors v JOIN pairs USING (product_id)) WHERE rn <= 400),
+  FROM vq, v_vectors v JOIN pairs USING (product_id)) WHERE {near}),
 tiers AS (SELECT query_id, product_id, store_id, listing_id, sim, CASE WHEN sim > 0.4 THEN 1 ELSE 3 END AS tier FROM kw
   {vector_union}),
 merged AS (SELECT query_id, tier, sim, w.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id, product_id, store_id ORDER BY tier) AS first FROM tiers) t
@@ -286,8 +286,9 @@ fin AS (SELECT m.*, {QDIST} AS distance_km, row_number() OVER (PARTITION BY m.qu
     AND (q.show_out_of_stock OR m.availability) AND (q.lat IS NULL OR m.lat IS NULL OR {QDIST} <= q.radius_km) AND sim >= 0.3)"""
 
 
-def core(text="search_text", cap="rn <= 400", vector=True, where=""):
-    return "WITH " + CORE.format(text=text, cap=cap, where=where, vector_union=VECTOR_UNION if vector else "")
+def core(text="search_text", cap=None, vector=True, where=""):
+    rows = {"cap": "true", "near": "sim >= 0.3"} if cap is None else {"cap": f"rn <= {cap}", "near": f"rn <= {cap}"}
+    return "WITH " + CORE.format(text=text, where=where, vector_union=VECTOR_UNION if vector else "", **rows)
 
 
 SHOWN = ["query_id", "rank", "product_id", "store_id", "price", "distance_km", "match_score"]
@@ -299,11 +300,26 @@ def _(t):
     return ps.hybrid_product_search(queries(t), t.listings, t.products, t.stores, items(t)).select(*SHOWN)
 
 
-@check("c01_search_uncapped_candidates", f"{core(cap='true')}, {FILTERED} SELECT {SHOWN_SQL} FROM fin WHERE rank <= 20")
+@check("c01_search_uncapped_candidates", f"{core()}, {FILTERED} SELECT {SHOWN_SQL} FROM fin WHERE rank <= 20")
 def _(t):
     return ps.hybrid_product_search(queries(t), t.listings, t.products, t.stores, items(t), candidate_cap=None).select(*SHOWN)
 
 
+@check("c01_search_capped", f"{core(cap=400)}, {FILTERED} SELECT {SHOWN_SQL} FROM fin WHERE rank <= 20")
+def _(t):
+    found = ps.hybrid_product_search(queries(t), t.listings, t.products, t.stores, items(t), ps.CANDIDATE_CAP, ps.RESULT_CAP)
+    return found.select(*SHOWN)
+
+
+# One listing for each product, so a cap counts products in both branches.
+@check("c01_search_capped_1000", f"""{core(cap=1000).replace("FROM v_listings GROUP BY 1, 2", "FROM (SELECT * FROM v_listings WHERE listing_id IN (SELECT min(listing_id) FROM v_listings GROUP BY product_id)) GROUP BY 1, 2")}, {FILTERED}
+SELECT {SHOWN_SQL} FROM fin WHERE rank <= 20""")
+def _(t):
+    single = t.listings.groupBy("product_id").agg(F.min("listing_id").alias("listing_id")).select("listing_id")
+    listings = t.listings.join(single, "listing_id", "left_semi")
+    return ps.hybrid_product_search(queries(t), listings, t.products, t.stores, items(t), 1000).select(*SHOWN)
+
+
 @check("c01_keyword_search", f"{core(vector=False)}, {FILTERED} SELECT {SHOWN_SQL} FROM fin WHERE rank > 20 AND rank <= 40")
 def _(t):
     asked = queries(t).withColumn("page", F.lit(2))
@@ -313,7 +329,7 @@ def _(t):
 @check("c01_search_totals", f"""{core()}, {FILTERED}
 SELECT q.query_id, count(rank) FILTER (WHERE rank <= 20) AS total, count(rank) AS total_available,
   count(rank) FILTER (WHERE rank <= 20 AND round(sim, 3) >= 0.9) AS exact_matches, count(rank) FILTER (WHERE rank <= 20 AND round(sim, 3) < 0.9) AS similar_matches
-FROM q LEFT JOIN (SELECT * FROM fin WHERE rank <= 200) f ON f.query_id = q.query_id GROUP BY q.query_id""")
+FROM q LEFT JOIN fin f ON f.query_id = q.query_id GROUP BY q.query_id""")
 def _(t):
     asked = queries(t)
     return ps.search_totals(asked, ps.ranked_results(asked, t.listings, t.products, t.stores, items(t)))
@@ -326,6 +342,12 @@ def _(t):
     return merged.select("query_id", "product_id", "store_id", "tier", F.round("similarity", 6).alias("similarity"))
 
 
+@check("u01_tiered_merge_capped", f"{core(cap=400)} SELECT query_id, product_id, store_id, tier, round(sim, 6) AS similarity FROM merged")
+def _(t):
+    merged = ps.search_rows(queries(t), t.listings, t.products, items(t), ps.CANDIDATE_CAP)
+    return merged.select("query_id", "product_id", "store_id", "tier", F.round("similarity", 6).alias("similarity"))
+
+
 CHAT = f"""
 ok AS (SELECT m.*, {QDIST} AS distance_km, coalesce(q.city IS NULL OR contains(lower(m.city), lower(q.city)), false) AS in_city FROM merged m JOIN q ON q.query_id = m.query_id
   WHERE (q.max_price IS NULL OR m.price IS NULL OR m.price <= q.max_price) AND (q.lat IS NULL OR m.lat IS NULL OR {QDIST} <= 10)),
@@ -338,8 +360,13 @@ def _(t):
     return ps.chat_product_search(queries(t), t.listings, t.products, t.stores, items(t)).select(*SHOWN)
 
 
+@check("c02_chat_capped", f"{core(cap=400)}, {CHAT.format(retry='true')} SELECT {SHOWN_SQL} FROM fin WHERE rank <= 10")
+def _(t):
+    return ps.chat_product_search(queries(t), t.listings, t.products, t.stores, items(t), ps.CANDIDATE_CAP).select(*SHOWN)
+
+
 @check("c05_brand_aware_search", f"""
-{core(text="CASE WHEN brand IS NULL THEN search_text ELSE brand || ' ' || search_text END")}, {CHAT.format(retry='false')},
+{core(text="CASE WHEN brand IS NULL THEN search_text ELSE brand || ' ' || search_text END")}, {CHAT.format(retry='false').replace('WHERE (q.max_price', 'WHERE (NOT q.online_only OR m.is_online) AND (q.max_price')},
 tiered AS (SELECT f.*, q.online_only AS qo, CASE WHEN q.brand IS NULL THEN 0 WHEN coalesce(f.product_brand, '') = '' THEN 2
     WHEN contains(lower(f.product_brand), lower(q.brand)) THEN 0 ELSE 1 END AS bt FROM fin f JOIN q ON q.query_id = f.query_id WHERE rank <= 10)
 SELECT query_id, product_id, store_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bt, rank) AS r FROM tiered
@@ -350,7 +377,7 @@ def _(t):
 
 
 @check("c19_query_time_dedup", f"""{core()}, {FILTERED},
-d AS (SELECT *, row_number() OVER (PARTITION BY query_id, canonical_name, price ORDER BY rank) AS first FROM fin WHERE rank <= 200)
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, canonical_name, price ORDER BY rank) AS first FROM fin)
 SELECT query_id, product_id, store_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM d WHERE first = 1""")
 def _(t):
     ranked = ps.ranked_results(queries(t), t.listings, t.products, t.stores, items(t))

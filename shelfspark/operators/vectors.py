@@ -70,14 +70,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def top_k_similar(
-    queries: DataFrame, items: DataFrame, k: int = 10, min_similarity: float | None = None, clamp: bool = False
+    queries: DataFrame, items: DataFrame, k: int | None = 10, min_similarity: float | None = None, clamp: bool = False
 ) -> DataFrame:
-    """The k most similar items per query: ``query_id, item_id, similarity``.
+    """The k most similar items per query: ``query_id, item_id, similarity, rank``.
+
+    Without ``k`` every item of ``min_similarity`` or more (which then must be given), not ranked.
 
     ``queries`` has ``query_id, embedding``, ``items`` has ``item_id, embedding``. A
     query batch of checked small size is shipped to the tasks that scan the items;
     a larger one meets the items in a grid of shuffled blocks.
     """
+    if k is None and min_similarity is None:
+        raise ValueError("give k, min_similarity or both")
     queries = queries.select("query_id", "embedding").where("embedding IS NOT NULL AND size(embedding) > 0")
     items = items.select("item_id", "embedding").where("embedding IS NOT NULL AND size(embedding) > 0")
     schema = T.StructType([
@@ -90,6 +94,8 @@ def top_k_similar(
         partial = _scan_top_k(small, items, k, min_similarity, clamp, schema)
     else:
         partial = _grid_top_k(queries, items, k, min_similarity, clamp, schema)
+    if k is None:
+        return partial
     from shelfspark.operators.ranking import top_n
 
     return top_n(partial, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
@@ -107,12 +113,14 @@ def _emit(query_ids, picks, schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"query_id": q, "item_id": i, "similarity": s}, schema=to_arrow_schema(schema))
 
 
-def _scored(scores: np.ndarray, ids: np.ndarray, k: int, minimum: float | None, clamp: bool):
+def _scored(scores: np.ndarray, ids: np.ndarray, k: int | None, minimum: float | None, clamp: bool):
     if clamp:
         scores = np.clip(scores, 0.0, 1.0)
     if minimum is not None:
         keep = scores >= minimum
         scores, ids = scores[keep], ids[keep]
+    if k is None:
+        return ids, scores
     best = _best(scores, ids, k)
     return ids[best], scores[best]
 
@@ -132,6 +140,9 @@ def _scan_top_k(queries: pa.Table, items: DataFrame, k, minimum, clamp, schema)
                 continue
             ids = _ids(batch["item_id"])
             scores = _cosines(vectors, _matrix(batch["embedding"]))
+            if k is None:
+                yield _emit(query_ids, [_scored(row, ids, k, minimum, clamp) for row in scores], schema)
+                continue
             for row in range(len(query_ids)):
                 found, best = _scored(scores[row], ids, k, minimum, clamp)
                 if kept[row] is not None:
