@@ -19,8 +19,8 @@ VIEWS = {
 SELECT p_partkey AS product_id, p_name AS canonical_name,
        CASE WHEN p_partkey % 20 = 0 THEN NULL WHEN p_partkey % 20 = 1 THEN '' ELSE p_brand END AS brand,
        CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS category_path,
-       p_partkey < 500 AS has_embedding
-FROM part""",
+       e.vec_id IS NOT NULL AS has_embedding
+FROM part LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = p_partkey""",
     "v_stores": """
 SELECT s.s_suppkey AS store_id, s.s_name AS name_he,
        CASE WHEN s.s_suppkey % 2 = 0 THEN concat('Store ', n.n_name) ELSE NULL END AS name_en,

@@ -199,11 +199,11 @@ def _(t):
 SITEMAP_SQL = """
 h AS (SELECT DISTINCT store_id, product_id FROM v_listings),
 u AS (SELECT store_id, product_id AS pid, product_id // 500 AS f, 'https://s' || cast(store_id AS varchar) || '.example.com/products/' || cast(product_id AS varchar) || '?a=1&b=2' AS url
-  FROM h WHERE (store_id % 3 = 0 OR product_id < 500) AND product_id % 7 <> 0)"""
+  FROM h WHERE product_id % 7 <> 0)"""
 
 
 def sitemap_documents(t):
-    """Root url set of small stores; an index with one product file per 500 products for every third store."""
+    """One url set of most stores; an index with one product file per 500 products for every third store."""
     s = F.col("store_id")
     site = F.concat(F.lit("https://s"), s.cast("string"), F.lit(".example.com"))
     rows = t.listings.select("store_id", "product_id").distinct()
@@ -211,11 +211,12 @@ def sitemap_documents(t):
                    F.col("product_id").cast("string"), F.lit("?a=1&amp;b=2 </loc></url>"))
     twice = F.concat(loc, F.when(F.col("product_id") % 5 == 0, loc).otherwise(F.lit("")))
     part = F.floor(F.col("product_id") / 500)
+    part = F.when(s % 3 == 0, part).otherwise(0)
     grouped = rows.groupBy("store_id", part.alias("f")).agg(F.array_sort(F.collect_list(F.struct("product_id", twice.alias("x")))).alias("xs"))
     files = grouped.select("store_id", "f", F.concat(F.lit("<urlset>"), F.array_join(F.transform("xs", lambda r: r.getField("x")), ""), F.lit("</urlset>")).alias("xml"))
     name = F.concat(site, F.lit("/product-sitemap"), F.col("f").cast("string"), F.lit(".xml"))
     children = files.where("store_id % 3 = 0").select("store_id", name.alias("sitemap_url"), F.lit(False).alias("is_root"), "xml")
-    roots = files.where("store_id % 3 <> 0 AND f = 0").select("store_id", F.concat(site, F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(True).alias("is_root"), "xml")
+    roots = files.where("store_id % 3 <> 0").select("store_id", F.concat(site, F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(True).alias("is_root"), "xml")
     listed = children.groupBy("store_id").agg(F.array_sort(F.collect_list(F.struct(F.length("sitemap_url"), "sitemap_url"))).alias("xs"))
     index = listed.select(
         "store_id", F.concat(site, F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(True).alias("is_root"),
@@ -539,12 +540,11 @@ def _(t):
     return t.pages.select("page_id", urls.base_url(F.col("url")).alias("base"))
 
 
-@check("x17_is_external", "SELECT page_id, NOT contains(url, '//blog.') AND page_id % 4 <> 0 AS external FROM pages WHERE NOT contains(url, '//blog.') OR page_id % 4 = 0")
+@check("x17_is_external", "SELECT page_id, page_id % 4 <> 0 AS external FROM pages")
 def _(t):
     n = F.col("page_id")
-    rows = t.pages.where("NOT contains(url, '//blog.') OR page_id % 4 = 0")
     link = F.when(n % 8 == 0, "https://wa.me/1").when(n % 8 == 4, F.concat(F.lit("ftp://"), F.col("url"))).otherwise(F.col("url"))
-    return rows.select("page_id", urls.is_external(link, ["partner.example.com"]).alias("external"))
+    return t.pages.select("page_id", urls.is_external(link, ["partner.example.com"]).alias("external"))
 
 
 @check("x18_looks_like_product_url", "SELECT page_id, page_id % 6 < 4 AS product FROM pages")

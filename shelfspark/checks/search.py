@@ -415,7 +415,7 @@ def _(t):
         F.col("store_id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lng").alias("q_lng"),
         (F.lit(0.5) + F.col("store_id") % 60).alias("radius_km"),
     )
-    return ss.store_search_near(asked, t.stores, t.listings).select("query_id", "store_id", "distance_km", "rank")
+    return ss.store_search_near(asked, t.stores, t.listings, 10).select("query_id", "store_id", "distance_km", "rank")
 
 
 TEST_BUCKETS = [(["NATION_1", "NATION_3", "NATION_4"], ["alpha", "nation_7"])]
@@ -426,32 +426,39 @@ b AS (SELECT *, unnest(bs) AS bucket_text, generate_subscripts(bs, 1) - 1 AS buc
    THEN list_concat([city], ['NATION_1', 'NATION_3', 'NATION_4']) ELSE [city] END AS bs FROM asked)),
 c AS (SELECT s.*, (SELECT count(*) FROM v_listings l WHERE l.store_id = s.store_id) AS n FROM v_stores s),
 per AS (SELECT * FROM (SELECT b.query_id, bucket, lim, online_only, c.store_id, c.is_online, row_number() OVER (PARTITION BY b.query_id, bucket ORDER BY n DESC, c.store_id) AS rk
-   FROM b JOIN c ON coalesce(c.city, '') ILIKE '%' || bucket_text || '%' WHERE store_type IS NULL OR c.store_category ILIKE store_type) WHERE rk <= 10),
+   FROM b JOIN c ON coalesce(c.city, '') ILIKE '%' || bucket_text || '%' WHERE (store_type IS NULL OR c.store_category ILIKE store_type) AND (NOT online_only OR c.is_online)) WHERE {rows}),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, store_id ORDER BY bucket, rk) AS f FROM per) WHERE f = 1),
-used AS (SELECT *, (SELECT count(*) FROM firsts g WHERE g.query_id = firsts.query_id AND g.bucket < firsts.bucket) AS before FROM firsts)"""
+used AS (SELECT * FROM (SELECT *, (SELECT count(*) FROM firsts g WHERE g.query_id = firsts.query_id AND g.bucket < firsts.bucket) AS before FROM firsts) WHERE {stop})"""
+ALL_STORES = EXPANDED.format(rows="true", stop="true")
+CAPPED_STORES = EXPANDED.format(rows="rk <= 10", stop="before < lim * 3")
 
 
-@check("c04_city_expanded_store_search", f"""
-WITH {EXPANDED}
-SELECT query_id, store_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bucket, rk) AS rank FROM used
- WHERE before < lim * 3 AND (NOT online_only OR is_online)) WHERE rank <= lim""")
-def _(t):
-    asked = t.sql("SELECT * FROM v_queries").selectExpr(
+C04 = """SELECT query_id, store_id, rank FROM (SELECT query_id, store_id, lim, row_number() OVER (PARTITION BY query_id ORDER BY bucket, rk) AS rank FROM used) WHERE rank <= lim"""
+
+
+def expanded_queries(t, online="online_only"):
+    return t.sql("SELECT * FROM v_queries").selectExpr(
         "query_id", "CASE vec_id % 4 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'NATION_7' WHEN 2 THEN 'NATION_2' END AS city",
-        "CASE WHEN vec_id % 3 = 0 THEN 'spa' END AS store_type", "online_only", "3 + vec_id % 4 AS limit",
+        "CASE WHEN vec_id % 3 = 0 THEN 'spa' END AS store_type", f"{online} AS online_only", "3 + vec_id % 4 AS limit",
     )
-    return ss.city_expanded_search(asked, t.stores, t.listings, TEST_BUCKETS).select("query_id", "store_id", "rank")
+
+
+@check("c04_city_expanded_store_search", f"WITH {ALL_STORES} {C04}")
+def _(t):
+    return ss.city_expanded_search(expanded_queries(t), t.stores, t.listings, TEST_BUCKETS).select("query_id", "store_id", "rank")
+
+
+@check("c04_city_expanded_capped", f"WITH {CAPPED_STORES} {C04}")
+def _(t):
+    found = ss.city_expanded_search(expanded_queries(t), t.stores, t.listings, TEST_BUCKETS, ss.BUCKET_ROWS, ss.STOP_FACTOR)
+    return found.select("query_id", "store_id", "rank")
 
 
 @check("u02_bucket_union_search", f"""
-WITH {EXPANDED}
-SELECT query_id, store_id, bucket, row_number() OVER (PARTITION BY query_id ORDER BY bucket, rk) AS rank FROM used WHERE before < lim * 3
-QUALIFY rank <= lim""")
+WITH {ALL_STORES.replace("online_only, 3 + vec_id", "false AS online_only, 3 + vec_id")}
+SELECT query_id, store_id, bucket, row_number() OVER (PARTITION BY query_id ORDER BY bucket, rk) AS rank FROM used QUALIFY rank <= lim""")
 def _(t):
-    asked = t.sql("SELECT * FROM v_queries").selectExpr(
-        "query_id", "CASE vec_id % 4 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'NATION_7' WHEN 2 THEN 'NATION_2' END AS city",
-        "CASE WHEN vec_id % 3 = 0 THEN 'spa' END AS store_type", "false AS online_only", "3 + vec_id % 4 AS limit",
-    )
+    asked = expanded_queries(t, "false")
     return ss.city_expanded_search(asked, t.stores, t.listings, TEST_BUCKETS).select("query_id", "store_id", "bucket", "rank")
 
 

@@ -12,7 +12,9 @@ from shelfspark.operators.joins import stores_with_counts
 from shelfspark.operators.patterns import near_join, pattern_join
 from shelfspark.operators.ranking import first_per_key, rank_within, top_n
 
+# Rows per bucket and the multiple of the limit at which a capped search stops; no defaults.
 BUCKET_ROWS = 10
+STOP_FACTOR = 3
 
 
 def list_stores(stores: DataFrame, city=None, category=None, online_only=False, page=1, page_size=50) -> DataFrame:
@@ -45,20 +47,25 @@ def store_search(
     return page_rows.withColumn("total_available", total)
 
 
-def store_search_near(queries: DataFrame, stores: DataFrame, listings: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
-    """Batch of located searches: ``query_id, q_lat, q_lng, radius_km``; nearest stores of each."""
+def store_search_near(queries: DataFrame, stores: DataFrame, listings: DataFrame, rows: int | None = None) -> DataFrame:
+    """Batch of located searches: ``query_id, q_lat, q_lng, radius_km``; all stores in reach, or the ``rows`` nearest."""
     counted = stores_with_counts(stores, listings)
     found = near_join(queries, counted).withColumn("distance_km", F.round("exact_km", 2)).drop("exact_km")
-    return top_n(found, ["query_id"], [F.col("distance_km"), F.col("store_id")], rows)
+    order = [F.col("distance_km"), F.col("store_id")]
+    return rank_within(found, ["query_id"], order) if rows is None else top_n(found, ["query_id"], order, rows)
 
 
-def city_expanded_search(queries: DataFrame, stores: DataFrame, listings: DataFrame, buckets=None) -> DataFrame:
+def city_expanded_search(
+    queries: DataFrame, stores: DataFrame, listings: DataFrame, buckets=None, bucket_rows: int | None = None,
+    stop_factor: int | None = None,
+) -> DataFrame:
     """Batch store search over a city and its regional buckets.
 
-    Queries: ``query_id, city, store_type, online_only, limit``. Each bucket gives its ten
-    stores with most listings; a store counts at its first bucket; buckets after the
-    one that brings the list to three times the limit are not used; the online filter
-    comes before the limit. Stores have no free-text filter here.
+    Queries: ``query_id, city, store_type, online_only, limit``. The online filter comes
+    first; each bucket gives its stores by number of listings (``bucket_rows`` of them, if
+    given); a store counts at its first bucket; with ``stop_factor`` buckets after the one
+    that brings the list to so many times the limit are not used. Stores have no free-text
+    filter here.
     """
     asked = queries.withColumn("buckets", expand_city(F.col("city"), buckets)).withColumn(
         "buckets", F.when(F.size("buckets") == 0, F.array(F.lit(""))).otherwise(F.col("buckets"))
@@ -73,20 +80,26 @@ def city_expanded_search(queries: DataFrame, stores: DataFrame, listings: DataFr
     parameters = queries.select("query_id", "store_type", "online_only", "limit")
     found = matched.join(counted, "_city").join(parameters, "query_id")
     found = found.where(F.col("store_type").isNull() | F.ilike(F.col("store_category"), F.col("store_type")))
-    per_bucket = top_n(found, ["query_id", "bucket"], [F.desc("product_count"), F.col("store_id")], BUCKET_ROWS)
-    merged = first_per_key(per_bucket, ["query_id", "store_id"], ["bucket", "rank"])
-    return _stop_early(merged)
-
-
-def _stop_early(merged: DataFrame) -> DataFrame:
-    """Drop buckets that start after the list is long enough, then filter and cut (lists are short: ten per bucket)."""
+    found = found.where(~F.coalesce("online_only", F.lit(False)) | F.col("is_online"))
+    order = [F.desc("product_count"), F.col("store_id")]
+    if bucket_rows is not None:
+        found = top_n(found, ["query_id", "bucket"], order, bucket_rows).drop("rank")
+    # Stores of one bucket keep their order, whatever the other buckets hold.
+    found = found.withColumn("_less", -F.col("product_count"))
+    merged = first_per_key(found, ["query_id", "store_id"], ["bucket"])
+    if stop_factor is not None:
+        merged = _stop_early(merged, stop_factor)
+    ranked = rank_within(merged, ["query_id"], [F.col("bucket"), F.col("_less"), F.col("store_id")])
+    return ranked.where(F.col("rank") <= F.col("limit")).drop("_less", "_city")
+
+
+def _stop_early(merged: DataFrame, factor: int) -> DataFrame:
+    """Drop buckets that start after the list is ``factor`` times as long as its limit."""
+    sizes = merged.groupBy("query_id", "bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("query_id").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
-    used = merged.withColumn("_before", F.coalesce(F.count("*").over(before), F.lit(0))).where(
-        F.col("_before") < F.col("limit") * 3
-    )
-    used = used.where(~F.coalesce("online_only", F.lit(False)) | F.col("is_online")).withColumnRenamed("rank", "_rank")
-    ranked = rank_within(used, ["query_id"], [F.col("bucket"), F.col("_rank")])
-    return ranked.where(F.col("rank") <= F.col("limit")).drop("_before", "_rank", "_city")
+    sizes = sizes.select("query_id", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    used = merged.join(sizes, ["query_id", "bucket"]).where(F.col("_before") < F.col("limit") * factor)
+    return used.drop("_before")
 
 
 def collapse_chains(results: DataFrame, links: DataFrame) -> DataFrame:
