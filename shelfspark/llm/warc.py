@@ -197,8 +197,11 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = LEVEL)
                         offset += len(packed)
                 with store.open_output_stream(f"{hidden}.index", compression=None) as out:
                     out.write("".join("\t".join(map(str, x[1:])) + "\n" for x in rows).encode())
-                store.move(f"{hidden}.warc", f"{base}/archives/{name}.warc.gz")
-                store.move(f"{hidden}.index", f"{base}/archives/{name}.idx")
+                for made, wanted in ((f"{hidden}.warc", f"{name}.warc.gz"), (f"{hidden}.index", f"{name}.idx")):
+                    wanted = f"{base}/archives/{wanted}"
+                    if store.get_file_info(wanted).type != fs.FileType.NotFound:  # left by an earlier attempt
+                        store.delete_file(wanted)
+                    store.move(made, wanted)
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
