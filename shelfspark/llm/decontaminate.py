@@ -89,9 +89,10 @@ def _short_hits(texts: DataFrame, shorts: DataFrame) -> DataFrame:
     Only lengths that occur among the items are looked at; without short items no text is
     cut into words here.
     """
-    lengths = shorts.agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    lengths = shorts.agg(F.sort_array(F.collect_set("n"))).scalar()  # at most window - 1 numbers
     of_length = (
-        texts.crossJoin(F.broadcast(lengths.where(F.size("lengths") > 0)))  # at most one row of window - 1 numbers
+        texts.withColumn("lengths", lengths)
+        .where(F.size("lengths") > 0)
         .select("doc_id", "text_hash", "lengths", word_hashes(F.col("text")).alias("words"))
         .select(
             "doc_id", "text_hash",

@@ -56,8 +56,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
             fitted = fitted.join(told, name, "left").withColumn("given", F.when(F.sum("tokens").over(of_value) > 0, F.coalesce("given", F.lit(0.0))).otherwise(0.0))
         else:
             fitted = fitted.withColumn("given", F.pow(F.sum("tokens").over(of_value).cast("double"), EVENNESS[name]))
-        totals = fitted.groupBy(name).agg(F.first("given").alias("given")).agg(F.sum("given").alias("total"))
-        fitted = fitted.crossJoin(F.broadcast(totals)).withColumn(f"to_{name}", F.coalesce(F.try_divide("given", "total"), F.lit(0.0))).drop("given", "total")  # one row
+        fitted = cut_lineage(fitted)
+        total = fitted.groupBy(name).agg(F.first("given").alias("given")).agg(F.sum("given")).scalar()
+        fitted = fitted.withColumn(f"to_{name}", F.coalesce(F.try_divide(F.col("given"), total), F.lit(0.0))).drop("given")
     fitted = cut_lineage(fitted)
     for number in range(rounds):
         for name in DIMENSIONS:
@@ -78,20 +79,21 @@ def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
     order = [F.desc("pull"), *DIMENSIONS]
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # cells, not documents
     pulled = raked.withColumn("pull", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    sums = pulled.agg((F.sum("tokens") * rate).alias("budget"), F.sum("weight").alias("all_weight"))
-    ranked = pulled.crossJoin(F.broadcast(sums)).withColumns(  # one row
+    pulled = cut_lineage(pulled)
+    budget, all_weight = pulled.agg(F.sum("tokens") * rate).scalar(), pulled.agg(F.sum("weight")).scalar()
+    ranked = pulled.withColumns(
         {
             "scale": F.try_divide(
-                F.col("budget") - F.coalesce(F.sum("tokens").over(before), F.lit(0)),
-                F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
+                budget - F.coalesce(F.sum("tokens").over(before), F.lit(0)),
+                all_weight - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
             ),
             "rank": F.row_number().over(Window.orderBy(*order)),
         }
     )
-    scale = ranked.where(F.col("scale") * F.col("pull") <= 1).agg(F.min_by("scale", "rank").alias("scale"))
-    return pulled.crossJoin(F.broadcast(scale)).select(  # one row
+    scale = ranked.where(F.col("scale") * F.col("pull") <= 1).agg(F.min_by("scale", "rank")).scalar()
+    return pulled.select(
         *DIMENSIONS, "tokens", "weight",
-        F.when(F.col("pull") > 0, F.least(F.lit(1.0), F.coalesce(F.col("scale") * F.col("pull"), F.lit(1.0)))).otherwise(0.0).alias("p"),
+        F.when(F.col("pull") > 0, F.least(F.lit(1.0), F.coalesce(scale * F.col("pull"), F.lit(1.0)))).otherwise(0.0).alias("p"),
     )
 
 
