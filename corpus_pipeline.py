@@ -45,8 +45,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template recurs; ``n_chars`` follows the text."""
-    kept = dedup_lines(docs.select(_row(), "doc_id", "text"))
+    """All documents, without lines whose template or text recurs; ``n_chars`` follows the text."""
+    kept = dedup_lines(docs.select(_row(), "doc_id", "text"), copies=True)
     text = F.col("text")
     row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:

@@ -3,7 +3,8 @@
 A line's tokens with digits are variable fields. The tree has a fixed depth: its first
 level is the number of tokens, the next ones are the leading tokens. Within a leaf a
 token that is rare at its position is a variable field too; what remains is the line's
-template. Templates that recur across documents keep their first line only.
+template. Templates that recur across documents keep their first line only. Lines that are
+equal as text can recur by themselves, whatever their tokens.
 
 The tree is never held anywhere: a leaf is a key, and everything is grouping and joins
 of narrow rows. Texts are read to make the keys, to fetch one line per variant of a leaf
@@ -23,6 +24,9 @@ MIN_TOKENS = 4
 MIN_FIXED = 0.6
 BLANKS = r"[\x20\x09\x0B-\x0D]+"
 FIELD = "<*>"
+#: Copies of a line of so many tokens or characters recur from two documents on.
+LONG_TOKENS = 50
+LONG_CHARS = 200
 
 
 def masked_tokens(line: Column) -> Column:
@@ -116,6 +120,29 @@ def repeated_lines(
     )
 
 
+def copied_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``doc, pos`` of all but the first of the lines that are equal as text and recur; blank lines never do."""
+
+    def fact(line: Column, i: Column) -> Column:
+        size = F.size(F.filter(F.split(line, BLANKS, -1), lambda t: t != ""))
+        return F.struct(
+            i.alias("pos"), F.xxhash64(line).alias("line"), (size > 0).alias("full"),
+            ((size >= LONG_TOKENS) | (F.length(line) >= LONG_CHARS)).alias("long"),
+        )
+
+    facts = F.filter(F.transform(F.split("text", "\n", -1), fact), lambda x: x["full"])
+    lines = cut_lineage(
+        docs.select("doc", "doc_id", F.explode_outer(facts).alias("l")).where("l IS NOT NULL")
+        .select("doc", "doc_id", "l.pos", "l.line", "l.long")
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "doc", "pos")
+    held = lines.groupBy("line", "doc").agg(F.min(order).alias("first"), F.max("long").alias("long"))
+    needed = F.when(F.max("long"), min(2, min_docs)).otherwise(min_docs)
+    recur = held.groupBy("line").agg(F.count("*").alias("docs"), F.min("first").alias("first"), needed.alias("needed"))
+    firsts = recur.where("docs >= needed").select("line", "first.doc", "first.pos").toDF("line", "f_doc", "f_pos")
+    return lines.join(firsts, "line").where("NOT (doc = f_doc AND pos = f_pos)").select("doc", "pos")
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -124,12 +151,15 @@ def dedup_lines(
     min_docs: int = MIN_DOCS,
     min_tokens: int = MIN_TOKENS,
     min_fixed: float = MIN_FIXED,
+    copies: bool = False,
 ) -> DataFrame:
     """All columns of ``docs``, with the kept lines as text, and ``n_lines, n_dropped`` behind them.
 
     A template recurs if ``min_docs`` documents hold it and at least ``min_fixed`` of its
     tokens are no variable fields; all its lines but the first (by document id, then
-    position) are dropped. Lines of fewer than ``min_tokens`` tokens always stay. A null
+    position) are dropped. Lines of fewer than ``min_tokens`` tokens stay as templates.
+    With ``copies``, lines that are equal as text recur by themselves, whatever their tokens:
+    if ``min_docs`` documents hold them, or two for long ones; blank lines stay. A null
     text stays null and has no lines; an empty one has one line, which stays. Rows with
     the same id and text are one document. Null ids come last. Columns of ``docs`` named
     like the two counts are replaced; other columns pass through. An empty table gives no
@@ -139,6 +169,8 @@ def dedup_lines(
     doc_key = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = docs.select(doc_key.alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     drops = repeated_lines(keyed, depth, min_docs, min_tokens, min_fixed)
+    if copies:
+        drops = drops.unionAll(copied_lines(keyed, min_docs)).distinct()
     by_doc = drops.groupBy("doc").agg(F.collect_list("pos").alias("drop"))
     whole = docs.select(F.struct(*rest).alias("row"), F.col(text_col).alias("text"), doc_key.alias("doc"))
     joined = whole.join(by_doc, "doc", "left")
