@@ -19,6 +19,7 @@ from shelfspark.llm.secrets import scan_secrets
 from shelfspark.llm.simhash import simhash_components
 from shelfspark.llm.token_counts import token_counts
 from shelfspark.llm.warc import archive_pages
+from shelfspark.llm.whitening import whitened_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -228,6 +229,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans(table(spark, folder, "documents")).drop("spans")
 
 
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened_components(table(spark, folder, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
