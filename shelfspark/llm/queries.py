@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import mixing
+from shelfspark.llm.alignment import align
 from shelfspark.llm.decontaminate import decontaminate
 from shelfspark.llm.language_id import language_ids
 from shelfspark.llm.line_dedup import dedup_lines
@@ -229,6 +230,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans(table(spark, folder, "documents")).drop("spans")
 
 
+@query("op11_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return align(table(spark, folder, "documents"), *paths).withColumn("groups_sha256", digest).drop("groups")
+
+
 @query("op12_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitened_components(table(spark, folder, "embeddings"))
