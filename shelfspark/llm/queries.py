@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import mixing
+from shelfspark.llm import quality_outliers as outliers
 from shelfspark.llm.alignment import align
 from shelfspark.llm.decontaminate import decontaminate
 from shelfspark.llm.language_id import language_ids
@@ -242,6 +243,63 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitened_components(table(spark, folder, "embeddings"))
 
 
+def _outlier_sql() -> str:
+    """Statistics by lists, then the concentration steps spelled out, a few tables each."""
+    layered = lambda source, layers: (
+        f"(SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in layers[-1].items())} FROM {layered(source, layers[:-1])})" if layers else source
+    )
+    sums = ", ".join(f"{sql} AS {name}" for name, sql in outliers.sum_layer().items())
+    added = ", ".join(f"CAST(sum({name}) AS BIGINT) AS {name}" for name in outliers.sum_layer())
+    estimate = ", ".join(outliers.ESTIMATE)
+    dims = range(outliers.DIMS)
+    tables = [
+        f"""e AS MATERIALIZED (SELECT grp, 0 AS start, {estimate} FROM {layered(f'(SELECT grp, {sums} FROM v GROUP BY grp)', outliers.estimate_layers())}
+          UNION ALL SELECT grp, 1, {', '.join(f'a{i} * 10.0::DOUBLE' for i in dims)},
+            {', '.join(f'greatest(b{i} * 14.826::DOUBLE, {outliers.UNIT * outliers.FLOORS[i]}::DOUBLE)' if i == j else '0.0::DOUBLE' for i, j in outliers.PAIRS)}
+          FROM (SELECT grp, {', '.join(f'quantile_disc(abs(x{i} - a{i}), 0.5) AS b{i}' for i in dims)}, {', '.join(f'any_value(a{i}) AS a{i}' for i in dims)}
+                FROM (SELECT grp, {', '.join(f'(v{i} // 10) - (CASE WHEN v{i} < 0 AND v{i} % 10 <> 0 THEN 1 ELSE 0 END) AS x{i}' for i in dims)} FROM v)
+                JOIN (SELECT grp AS g, {', '.join(f'quantile_disc((v{i} // 10) - (CASE WHEN v{i} < 0 AND v{i} % 10 <> 0 THEN 1 ELSE 0 END), 0.5) AS a{i}' for i in dims)} FROM v GROUP BY grp) ON g = grp GROUP BY grp))"""
+    ]
+    last = "e"
+    for step in range(outliers.STEPS):
+        met = layered(f"(SELECT v.*, {last}.* EXCLUDE (grp) FROM v JOIN {last} ON {last}.grp = v.grp)", outliers.distance_layers())
+        tables.append(
+            f"""b{step} AS MATERIALIZED (SELECT grp, start, {outliers.BUCKET} AS bucket, {sums} FROM {met} GROUP BY ALL),
+h{step} AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY grp, start ORDER BY bucket) - n AS before, sum(n) OVER (PARTITION BY grp, start) AS whole FROM b{step}),
+e{step} AS MATERIALIZED (SELECT grp, start, {estimate} FROM {layered(f'(SELECT grp, start, {added} FROM h{step} WHERE before < ceil(whole * {outliers.SHARE}::DOUBLE) GROUP BY grp, start)', outliers.estimate_layers())})"""
+        )
+        last = f"e{step}"
+    limit = outliers.chi_square_quantile(1 - outliers.LEFT_OUT, outliers.DIMS) * outliers._consistency(outliers.SHARE)
+    chosen = f"(SELECT * FROM {last} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {outliers.DETERMINANT}, start) = 1)"
+    inner = layered(f"(SELECT v.*, c.* EXCLUDE (grp) FROM v JOIN {chosen} c ON c.grp = v.grp)", outliers.distance_layers())
+    final = layered("(SELECT v.*, f.* EXCLUDE (grp) FROM v JOIN f ON f.grp = v.grp)", outliers.distance_layers())
+    steps = ",\n".join(tables)
+    most = outliers.chi_square_quantile(1 - outliers.TAIL, outliers.DIMS)
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, lang, source, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS x FROM d WHERE len(w) >= 5),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS at
+      FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS times FROM g) WHERE times > 1) GROUP BY doc_id),
+s AS MATERIALIZED (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    len(l)::BIGINT AS n_lines, len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+o AS (SELECT *, count(*) OVER (PARTITION BY lang, source) AS own FROM s WHERE NOT base_failed),
+q AS (SELECT *, CASE WHEN own >= {outliers.LEAST_ROWS} THEN 'own' || coalesce('=' || lang, '') || chr(1) || coalesce('=' || source, '') ELSE 'pool' || coalesce('=' || lang, '') END AS grp FROM o),
+v AS MATERIALIZED (SELECT grp, doc_id, {', '.join(f'{sql} AS {name}' for name, sql in outliers.vector_layer().items())} FROM q QUALIFY count(*) OVER (PARTITION BY grp) >= {outliers.LEAST_ROWS}),
+{steps},
+f AS MATERIALIZED (SELECT grp, {estimate} FROM {layered(f'(SELECT grp, {sums} FROM {inner} WHERE d2 <= {limit!r}::DOUBLE GROUP BY grp)', outliers.estimate_layers())}),
+m AS (SELECT doc_id, d2 FROM {final})
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, round(d2 / {outliers._consistency(1 - outliers.LEFT_OUT)!r}::DOUBLE, 6) AS distance,
+  NOT base_failed AND (d2 IS NULL OR d2 / {outliers._consistency(1 - outliers.LEFT_OUT)!r}::DOUBLE <= {most!r}::DOUBLE) AS kept
+FROM s LEFT JOIN m ON m.doc_id = s.doc_id"""
+
+
+@query("op13_quality_outliers", _outlier_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.quality_verdicts(table(spark, folder, "documents")).withColumn("distance", F.round("distance", 6))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
