@@ -284,9 +284,9 @@ def _(t):
 
 
 LISTED = """
-l AS (SELECT *, row_number() OVER (PARTITION BY product_id, store_id, product_url ORDER BY listing_id) AS rn FROM v_listings),
+l AS (SELECT *, row_number() OVER (PARTITION BY product_id, store_id, product_url ORDER BY listing_id, price NULLS FIRST, availability NULLS FIRST, currency NULLS FIRST, image_url NULLS FIRST) AS rn FROM v_listings),
 tgt AS (SELECT * FROM l WHERE rn = 1 AND product_id % 3 <> 0 AND product_url IS NOT NULL),
-feed AS (SELECT *, row_number() OVER (PARTITION BY product_id, store_id, product_url ORDER BY listing_id DESC) AS back FROM v_listings WHERE store_id % 2 = 0)"""
+feed AS (SELECT *, row_number() OVER (PARTITION BY product_id, store_id, product_url ORDER BY listing_id DESC, price DESC NULLS LAST, availability DESC NULLS LAST) AS back FROM v_listings WHERE store_id % 2 = 0)"""
 
 
 def listing_target(t):
@@ -310,7 +310,7 @@ def as_of():
 
 S12 = f"""
 WITH {LISTED},
-img AS (SELECT product_id, store_id, product_url, arg_max(image_url, listing_id) FILTER (WHERE image_url IS NOT NULL) AS image_url FROM feed WHERE product_url IS NOT NULL GROUP BY 1, 2, 3),
+img AS (SELECT product_id, store_id, product_url, arg_max(image_url, {{'at': listing_id, 'value': image_url}}) FILTER (WHERE image_url IS NOT NULL) AS image_url FROM feed WHERE product_url IS NOT NULL GROUP BY 1, 2, 3),
 f AS (SELECT feed.*, img.image_url AS last_image FROM feed JOIN img USING (product_id, store_id, product_url) WHERE back = 1)
 SELECT cast(coalesce(f.product_id, tgt.product_id) AS varchar) AS product_id, coalesce(f.store_id, tgt.store_id) AS store_id, coalesce(f.product_url, tgt.product_url) AS product_url,
  CASE WHEN f.listing_id IS NOT NULL THEN f.price ELSE tgt.price END AS price, CASE WHEN f.listing_id IS NOT NULL THEN f.availability ELSE tgt.availability END AS availability,

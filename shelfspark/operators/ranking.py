@@ -7,6 +7,8 @@ per task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,14 @@ def top_n(df: DataFrame, keys: list, order: list[Column], n: int, name: str = "r
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
-    """One row per key: the lowest (or highest) by ``order``.
+    """One row per key: the lowest (or highest) by ``order``, then by its other values that Spark can order.
 
     An aggregate of structs, so every task sends one row per key.
     """
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if descending else F.min_by
-    row = pick(F.struct(*rest), F.struct(*order)).alias("_row")
+    ordered = [f.name for f in df.schema if f.name in rest and f.name not in order and not re.search("map<|variant", f.dataType.simpleString())]
+    row = pick(F.struct(*rest), F.struct(*order, *ordered)).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.operators.joins import price_changes
-from shelfspark.operators.upserts import upsert_listings
+from shelfspark.operators.upserts import last_row, upsert_listings
 from shelfspark.plans.profiles import attribute_rows
 from shelfspark.session import scratch_path
 
@@ -162,8 +162,7 @@ def track_prices(feed: DataFrame, listings_folder: str, changes_folder: str, as_
     def apply(batch: DataFrame, number: int) -> None:
         current = spark.read.parquet(f"{listings_folder}/v={number}")
         keyed = ["product_id", "store_id", "product_url"]
-        pick = F.max_by(F.struct("price", "availability"), "position").alias("v")
-        arriving = batch.groupBy(*keyed).agg(pick).select(*keyed, "v.*")
+        arriving = batch.groupBy(*keyed).agg(last_row("price", "availability").alias("v")).select(*keyed, "v.*")
         price_changes(current, arriving, keyed, as_of).write.mode("overwrite").parquet(f"{changes_folder}/batch={number}")
         upsert_listings(current, batch, as_of).drop("is_new").write.mode("overwrite").parquet(
             f"{listings_folder}/v={number + 1}"
