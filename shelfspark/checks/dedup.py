@@ -23,7 +23,8 @@ leaders AS (SELECT unnest(leaders) AS leader FROM walk WHERE step = (SELECT max(
 groups AS (SELECT id, min(neighbour) AS leader FROM pairs WHERE neighbour IN (SELECT leader FROM leaders) AND id NOT IN (SELECT leader FROM leaders) GROUP BY id),
 members AS (SELECT id, leader FROM groups UNION ALL SELECT DISTINCT leader, leader FROM groups)"""
 COUNTS = """
-listings AS (SELECT listing_id, CASE WHEN hash % 7 = 0 THEN 200000 WHEN hash % 3 = 0 THEN 100000 ELSE 0 END + product_id % 500 AS product_id, store_id, product_url
+ids AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+listings AS (SELECT listing_id, CASE WHEN hash % 7 = 0 THEN 2 WHEN hash % 3 = 0 THEN 1 ELSE 0 END * (SELECT n FROM ids) + product_id % (SELECT n FROM ids) AS product_id, store_id, product_url
   FROM (SELECT *, product_id + store_id AS hash FROM v_listings))"""
 CHOSEN = f"""
 {COUNTS},
@@ -39,7 +40,8 @@ def vec(t):
 
 def listings(t):
     h = F.col("product_id") + F.col("store_id")
-    shifted = F.when(h % 7 == 0, 200000).when(h % 3 == 0, 100000).otherwise(0) + F.col("product_id") % 500
+    copy = F.when(h % 7 == 0, 2).when(h % 3 == 0, 1).otherwise(0)
+    shifted = copy * t.vector_ids + F.col("product_id") % t.vector_ids
     return t.listings.select("listing_id", shifted.alias("product_id"), "store_id", "product_url")
 
 
@@ -115,31 +117,31 @@ def _(t):
 
 # Every vector stands three times in the table: copies must stay one group with their original.
 @check("c06_groups_of_copies", f"""WITH RECURSIVE {WALK}, base AS (SELECT e.product_id, coalesce(m.leader, e.product_id) AS leader FROM v_emb_dup e LEFT JOIN members m ON m.id = e.product_id)
-SELECT product_id + k * 1000000 AS id, leader FROM base, (SELECT unnest([0, 1, 2]) AS k)""")
+SELECT product_id + k * 3 * (SELECT max(vec_id) + 1 FROM embeddings) AS id, leader FROM base, (SELECT unnest([0, 1, 2]) AS k)""")
 def _(t):
     copies = vec(t).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    return dedup.duplicate_groups(copies.select((F.col("id") + F.col("k") * 1000000).alias("id"), "embedding"), 0.95)
+    return dedup.duplicate_groups(copies.select((F.col("id") + F.col("k") * 3 * t.vector_ids).alias("id"), "embedding"), 0.95)
 
 
 @check("j13_best_master_match", """
-WITH c AS (SELECT product_id, e FROM v_emb_dup WHERE product_id >= 100000), m AS (SELECT product_id, e FROM v_emb_dup WHERE product_id < 100000),
+WITH c AS (SELECT product_id, e FROM v_emb_dup WHERE product_id > (SELECT max(vec_id) FROM embeddings)), m AS (SELECT product_id, e FROM v_emb_dup WHERE product_id <= (SELECT max(vec_id) FROM embeddings)),
 s AS (SELECT c.product_id AS candidate_id, m.product_id AS master, round(list_cosine_similarity(c.e, m.e), 9) AS sim FROM c, m),
 b AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY sim DESC, master) AS rn FROM s)
 SELECT candidate_id, sim >= 0.92 AS is_duplicate, round(sim, 6) AS similarity, CASE WHEN sim >= 0.92 THEN master END AS master_id FROM b WHERE rn = 1
 UNION ALL SELECT -1, false, 0, NULL""")
 def _(t):
     rows = t.planted_vectors
-    candidates = rows.where("product_id >= 100000").select(F.col("product_id").alias("candidate_id"), F.lit("x").alias("text"), "embedding")
+    candidates = rows.where(F.col("product_id") >= t.vector_ids).select(F.col("product_id").alias("candidate_id"), F.lit("x").alias("text"), "embedding")
     failed = candidates.limit(1).select(F.lit(-1).cast("bigint").alias("candidate_id"), "text", F.array().cast("array<double>").alias("embedding"))
-    masters = rows.where("product_id < 100000").select(F.col("product_id").alias("master_id"), F.col("product_id").cast("string").alias("name"), "embedding")
+    masters = rows.where(F.col("product_id") < t.vector_ids).select(F.col("product_id").alias("master_id"), F.col("product_id").cast("string").alias("name"), "embedding")
     found = vectors.match_to_masters(candidates.unionByName(failed), masters)
     return found.select("candidate_id", "is_duplicate", F.round("similarity", 6).alias("similarity"), "master_id")
 
 
 @check("d04_scoring_udf", """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 1)
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0)
 SELECT q.query_id, m.product_id, round(list_cosine_similarity(q.e, m.e), 6) AS similarity FROM q, v_emb_dup m WHERE round(list_cosine_similarity(q.e, m.e), 9) >= 0.3""")
 def _(t):
-    asked = t.embeddings.where("vec_id % 100 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     found = vectors.top_k_similar(asked, t.planted_vectors.withColumnRenamed("product_id", "item_id"), None, 0.3)
     return found.select("query_id", F.col("item_id").alias("product_id"), F.round("similarity", 6).alias("similarity"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators.joins import listings_wide
@@ -194,18 +194,23 @@ class Tables:
             F.col("vec_id").alias("product_id"), "embedding"
         )
 
+    @property
+    def vector_ids(self) -> Column:
+        """One more than the largest vector id."""
+        return self.embeddings.agg(F.max("vec_id") + 1).scalar()
+
     @property
     def planted_vectors(self) -> DataFrame:
-        """Vectors with planted near-copies: every tenth gives two mixes with its successor."""
+        """Vectors with planted near-copies: every tenth gives two mixes with its successor, under ids above all real ones."""
         base = self.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
         pairs = base.where("vec_id % 10 = 0").alias("v").join(
             base.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id"
         )
         mixed = [
             pairs.select(
-                (F.col("vec_id") + shift).alias("product_id"),
+                (F.col("vec_id") + copy * self.vector_ids).alias("product_id"),
                 F.zip_with("embedding", "next", lambda x, y: x + F.lit(weight) * y).alias("embedding"),
             )
-            for shift, weight in ((100000, 0.3), (200000, 0.6))
+            for copy, weight in ((1, 0.3), (2, 0.6))
         ]
         return base.select(F.col("vec_id").alias("product_id"), "embedding").unionAll(mixed[0]).unionAll(mixed[1])

@@ -17,10 +17,10 @@ DUCKDB_VIEWS = {
     "v_emb_dup": """
 SELECT vec_id AS product_id, embedding::DOUBLE[] AS e FROM embeddings
 UNION ALL
-SELECT a.vec_id + 100000, [x[1] + 0.3::DOUBLE * x[2] for x in list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[])]
+SELECT a.vec_id + 1 * (SELECT max(vec_id) + 1 FROM embeddings), [x[1] + 0.3::DOUBLE * x[2] for x in list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[])]
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 = 0
 UNION ALL
-SELECT a.vec_id + 200000, [x[1] + 0.6::DOUBLE * x[2] for x in list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[])]
+SELECT a.vec_id + 2 * (SELECT max(vec_id) + 1 FROM embeddings), [x[1] + 0.6::DOUBLE * x[2] for x in list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[])]
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 = 0""",
 }
 

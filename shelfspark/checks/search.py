@@ -245,12 +245,12 @@ def _(t):
 
 
 @check("t02_vector_topk", """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 25 = 3),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT q.query_id, v.product_id, round(list_cosine_similarity(q.e, v.e), 9) AS sim FROM q, v_vectors v)
 SELECT query_id, product_id, round(sim, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, product_id) AS rank
 FROM s WHERE sim >= 0.1) WHERE rank <= 10""")
 def _(t):
-    asked = t.embeddings.where("vec_id % 25 = 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = vectors.top_k_similar(asked, items(t).select(F.col("product_id").alias("item_id"), "embedding"), 10, 0.1)
     return found.select("query_id", F.col("item_id").alias("product_id"), F.round("similarity", 6).alias("similarity"), "rank")
 

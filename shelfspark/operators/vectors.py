@@ -5,15 +5,14 @@ two blocks per call; no pair below the threshold or outside a row's top k leaves
 a task. Cosines are rounded to nine digits so that equal vectors tie whatever
 block they were multiplied in.
 
-Near neighbours under a threshold are pruned with pivots: with angle
-``theta = acos(threshold)``, a vector whose nearest pivot is ``p`` can only match
-vectors ``y`` with ``angle(y, p) <= min over pivots of angle(y, .) + 2 theta``
-(triangle inequality on angles). A cell too large for one task is split into a
-grid of hashed sub-blocks, so a hot cell costs more tasks, not a larger one.
+Near neighbours under a threshold are pruned by a cover tree (``cover_tree``). A cell too
+large for one task is split into a grid of hashed sub-blocks, so a hot cell costs more
+tasks, not a larger one.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -23,25 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 4096
-PIVOTS = 32
+from shelfspark.operators.cover_tree import BLOCK_ROWS, DIGITS, EPS, CoverTree, mean_visits, near_pairs, plant, unit_rows, with_visits
+from shelfspark.session import cut_lineage
+
+log = logging.getLogger(__name__)
+
 BROADCAST_QUERIES = 2048
-_DIGITS = 9
-_EPS = 1e-6
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Unit-length rows in double precision; an all-zero vector stays zero."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if len(column) == 0:
-        return np.zeros((0, 1))
-    lengths = np.asarray(column.value_lengths())
-    if (lengths != lengths[0]).any():
-        raise ValueError("vector lengths differ")
-    rows = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), int(lengths[0]))
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -51,7 +37,7 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     if left.shape[1] != right.shape[1]:
         raise ValueError("vector lengths differ")
-    return np.round(left @ right.T, _DIGITS)
+    return np.round(left @ right.T, DIGITS)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -133,13 +119,13 @@ def _scan_top_k(queries: pa.Table, items: DataFrame, k, minimum, clamp, schema)
         query_ids = table["query_id"].to_pylist()
         if not query_ids:
             return
-        vectors = _matrix(table["embedding"])
+        vectors = unit_rows(table["embedding"])
         kept: list = [None] * len(query_ids)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = _ids(batch["item_id"])
-            scores = _cosines(vectors, _matrix(batch["embedding"]))
+            scores = _cosines(vectors, unit_rows(batch["embedding"]))
             if k is None:
                 yield _emit(query_ids, [_scored(row, ids, k, minimum, clamp) for row in scores], schema)
                 continue
@@ -175,7 +161,7 @@ def _grid_top_k(queries: DataFrame, items: DataFrame, k, minimum, clamp, schema)
         else:
             query_ids = block_q["query_id"].to_pylist()
             ids = _ids(block_i["item_id"])
-            scores = _cosines(_matrix(block_q["embedding"]), _matrix(block_i["embedding"]))
+            scores = _cosines(unit_rows(block_q["embedding"]), unit_rows(block_i["embedding"]))
             picks = [_scored(scores[row], ids, k, minimum, clamp) for row in range(len(query_ids))]
         return pa.Table.from_batches([_emit(query_ids, picks, schema)])
 
@@ -187,79 +173,49 @@ def _grid_top_k(queries: DataFrame, items: DataFrame, k, minimum, clamp, schema)
 # ---------------------------------------------------------------------------
 
 
-def place(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> DataFrame:
-    """Add ``cell`` (nearest pivot), ``core`` (within half the angle of it) and ``visits`` (cells to be compared in).
+def place(vectors: DataFrame, threshold: float) -> tuple[DataFrame, CoverTree]:
+    """(``id, embedding, cell, core, visits``, tree): the cell of each vector and the cells it is to be compared in.
 
-    Pivots are the vectors with the lowest id hash: at most ``pivots`` rows reach
-    the driver. All-zero vectors match nothing and are left out.
+    ``core`` marks vectors within half the angle of their pivot: any two of one cell are
+    neighbours. All-zero vectors match nothing and are left out. Rows are in the shared folder.
     """
-    vectors = vectors.select("id", "embedding").where(
-        "embedding IS NOT NULL AND size(embedding) > 0 AND exists(embedding, x -> x <> 0)"
-    )
-    chosen = vectors.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).select("embedding").toArrow()
-    schema = T.StructType(
-        list(vectors.schema.fields)
-        + [
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("core", T.BooleanType()),
-            T.StructField("visits", T.ArrayType(T.IntegerType())),
-        ]
-    )
-    anchors = _matrix(chosen["embedding"])
     theta = math.acos(max(-1.0, min(1.0, threshold)))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            angles = np.arccos(np.clip(_matrix(batch["embedding"]) @ anchors.T, -1.0, 1.0))
-            nearest = angles.min(axis=1)
-            near = angles <= nearest[:, None] + 2 * theta + _EPS
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["id"],
-                    batch["embedding"],
-                    pa.array(angles.argmin(axis=1).astype(np.int32)),
-                    pa.array(nearest <= theta / 2 - _EPS),
-                    pa.array([np.flatnonzero(row).astype(np.int32) for row in near], pa.list_(pa.int32())),
-                ],
-                names=["id", "embedding", "cell", "core", "visits"],
-            )
-
-    return vectors.mapInArrow(assign, schema)
+    planted, tree = plant(vectors, theta)
+    placed = cut_lineage(with_visits(planted, tree, theta).withColumn("core", F.col("angle") <= theta / 2 - EPS).drop("angle"))
+    log.info("vectors meet %.3f of %d cells on average", mean_visits(placed), tree.sizes[tree.level])
+    return placed, tree
 
 
 def _cells(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides keyed by cell and by the sub-blocks of that cell."""
     right = right.select("id", "embedding", F.explode("visits").alias("cell"))
-    sizes = {}
     counted = left.select("cell", F.lit(0).alias("side")).unionAll(right.select("cell", F.lit(1).alias("side")))
-    for row in counted.groupBy("cell").agg(F.count_if(F.expr("side = 0")).alias("l"), F.count_if(F.expr("side = 1")).alias("r")).collect():
-        # At most one row per pivot.
-        sizes[row["cell"]] = (max(1, math.ceil(row["l"] / BLOCK_ROWS)), max(1, math.ceil(row["r"] / BLOCK_ROWS)))
-    if not sizes:
-        sizes = {0: (1, 1)}
-    grid = F.create_map(*[F.lit(x) for cell, (l, r) in sizes.items() for x in (cell, l * 1_000_000 + r)])
-    packed = F.try_element_at(grid, F.col("cell"))
-    l_blocks, r_blocks = F.floor(packed / 1_000_000), packed % 1_000_000
+    blocks = lambda side: F.ceil(F.count_if(F.col("side") == side) / BLOCK_ROWS)
+    # At most one row per pivot, and the pivots are bounded; a cell that one side misses has no pair.
+    sizes = F.broadcast(cut_lineage(counted.groupBy("cell").agg(blocks(0).alias("l"), blocks(1).alias("r")).where("l > 0 AND r > 0")))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
-    left = left.select("id", "embedding", "cell", F.pmod(F.xxhash64("id"), l_blocks).alias("_l"), spread(r_blocks).alias("_r"))
+    left = left.join(sizes, "cell").select("id", "embedding", "cell", F.pmod(F.xxhash64("id"), F.col("l")).alias("_l"), spread(F.col("r")).alias("_r"))
     # Both sides may stem from one table: new names keep their columns apart.
-    right = right.select(F.col("id").alias("other"), F.col("embedding").alias("other_embedding"), "cell", F.pmod(F.xxhash64("id"), r_blocks).alias("_r"), spread(l_blocks).alias("_l"))
+    right = right.join(sizes, "cell").select(
+        F.col("id").alias("other"), F.col("embedding").alias("other_embedding"), "cell",
+        F.pmod(F.xxhash64("id"), F.col("r")).alias("_r"), spread(F.col("l")).alias("_l"),
+    )
     return left, right
 
 
 _KEYS = ["cell", "_l", "_r"]
 
 
-def lowest_neighbour(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """For each left vector that has one: the lowest id among its right neighbours (``id, neighbour``).
+def lowest_neighbours(left: DataFrame, right: DataFrame, threshold: float, tree: CoverTree, most: int = 1, below: bool = False) -> DataFrame:
+    """For each left vector that has one: the ``most`` lowest ids among its right neighbours (``id, neighbours``, sorted).
 
-    Both sides come from ``place``. One row per left vector and block leaves a
-    task, however many pairs lie above the threshold.
+    Both sides come from ``place``. With ``below`` only neighbours of a lower id than the
+    vector's own count. At most ``most`` ids per left vector and block leave a task, however
+    many pairs lie above the threshold.
     """
     id_type = left.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("neighbour", id_type)])
+    basis = tree.basis
 
     def lowest(a: pa.Table, b: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -269,15 +225,21 @@ def lowest_neighbour(left: DataFrame, right: DataFrame, threshold: float) -> Dat
             return out.empty_table()
         a_ids, b_ids = _ids(a["id"]), _ids(b["other"])
         order = np.argsort(b_ids, kind="stable")
-        near = _cosines(_matrix(a["embedding"]), _matrix(b["other_embedding"])[order]) >= threshold
-        near &= a_ids[:, None] != b_ids[order][None, :]
-        hit = near.any(axis=1)
-        found = b_ids[order][near.argmax(axis=1)]
-        return pa.Table.from_pydict({"id": a_ids[hit].tolist(), "neighbour": found[hit].tolist()}, schema=out)
+        b_ids = b_ids[order]
+        row, column, _ = near_pairs(unit_rows(a["embedding"]), unit_rows(b["other_embedding"])[order], threshold, basis)
+        keep = b_ids[column] < a_ids[row] if below else b_ids[column] != a_ids[row]
+        row, column = row[keep], column[keep]
+        # Columns rise within a row, so the first ones are the lowest ids.
+        place_ = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[place_ < most], column[place_ < most]
+        return pa.Table.from_pydict({"id": a_ids[row].tolist(), "neighbour": b_ids[column].tolist()}, schema=out)
 
     a, b = _cells(left, right)
     blocks = a.groupBy(*_KEYS).cogroup(b.groupBy(*_KEYS)).applyInArrow(lowest, schema)
-    return blocks.groupBy("id").agg(F.min("neighbour").alias("neighbour"))
+    if most == 1:
+        return blocks.groupBy("id").agg(F.array(F.min("neighbour")).alias("neighbours"))
+    # A vector has at most ``most`` rows per block it meets.
+    return blocks.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("neighbour")), 1, most).alias("neighbours"))
 
 
 def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.95, k: int = 50) -> DataFrame:
@@ -308,7 +270,8 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.95, k: int = 5
 
 def _nearest_distinct(vectors: DataFrame, threshold: float, k: int) -> DataFrame:
     """``id, neighbour, similarity`` of the k nearest among distinct vectors."""
-    placed = place(vectors, threshold)
+    placed, tree = place(vectors, threshold)
+    basis = tree.basis
     id_type = placed.schema["id"].dataType
     schema = T.StructType([
         T.StructField("id", id_type), T.StructField("neighbour", id_type), T.StructField("similarity", T.DoubleType()),
@@ -321,15 +284,15 @@ def _nearest_distinct(vectors: DataFrame, threshold: float, k: int) -> DataFrame
         if a.num_rows == 0 or b.num_rows == 0:
             return out.empty_table()
         a_ids, b_ids = _ids(a["id"]), _ids(b["other"])
-        scores = _cosines(_matrix(a["embedding"]), _matrix(b["other_embedding"]))
-        rows = {"id": [], "neighbour": [], "similarity": []}
-        for row in np.flatnonzero((scores >= threshold).any(axis=1)):
-            near = np.flatnonzero((scores[row] >= threshold) & (b_ids != a_ids[row]))
-            near = near[_best(scores[row][near], b_ids[near], k)]
-            rows["id"].extend([a_ids[row]] * len(near))
-            rows["neighbour"].extend(b_ids[near].tolist())
-            rows["similarity"].extend(scores[row][near].tolist())
-        return pa.Table.from_pydict(rows, schema=out)
+        row, column, cosines = near_pairs(unit_rows(a["embedding"]), unit_rows(b["other_embedding"]), threshold, basis)
+        keep = b_ids[column] != a_ids[row]
+        row, column, cosines = row[keep], column[keep], cosines[keep]
+        order = np.lexsort((b_ids[column], -cosines, row))
+        row, column, cosines = row[order], column[order], cosines[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pa.Table.from_pydict(
+            {"id": a_ids[row[first]].tolist(), "neighbour": b_ids[column[first]].tolist(), "similarity": cosines[first].tolist()}, schema=out
+        )
 
     from shelfspark.operators.ranking import top_n
 

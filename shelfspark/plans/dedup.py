@@ -4,10 +4,11 @@ The rule is the sequential one: walk products by id; a product not yet claimed
 takes all unclaimed products within the threshold into its group. That walk picks
 the lowest-id maximal independent set, which is found in rounds: a product becomes a
 leader once no undecided neighbour has a lower id; products next to a leader are
-settled; the others go into the next round. Only at the end does each settled
-product join its lowest-id leader.
+settled; the others go into the next round. Chains, in which each product waits for one
+other, are contracted by pointer jumping, so their length costs a logarithm. Only at the
+end does each settled product join its lowest-id leader.
 
-Pairs are never listed: a round asks for one lowest neighbour per product. Exact
+Pairs are never listed: a round asks for the two lowest neighbours per product. Exact
 copies stand in as one vector (they are always claimed together), and products packed
 around a pivot settle by a minimum per cell before any block is multiplied.
 """
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.operators.joins import repoint_listings
-from shelfspark.operators.vectors import lowest_neighbour, place
+from shelfspark.operators.cover_tree import CoverTree
+from shelfspark.operators.vectors import lowest_neighbours, place
 from shelfspark.session import cut_lineage
 
 log = logging.getLogger(__name__)
@@ -35,9 +37,9 @@ def duplicate_groups(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         "embedding IS NOT NULL AND size(embedding) > 0 AND exists(embedding, x -> x <> 0)"
     )
     copies = usable.groupBy("embedding").agg(F.min("id").alias("rep"))
-    placed = cut_lineage(place(copies.select(F.col("rep").alias("id"), "embedding"), threshold))
-    leaders, settled = _rounds(placed, threshold)
-    joined = lowest_neighbour(settled, leaders, threshold).select("id", F.col("neighbour").alias("leader"))
+    placed, tree = place(copies.select(F.col("rep").alias("id"), "embedding"), threshold)
+    leaders, settled = _rounds(placed, threshold, tree)
+    joined = lowest_neighbours(settled, leaders, threshold, tree).select("id", F.get("neighbours", 0).alias("leader"))
     of_rep = joined.unionByName(leaders.select("id", F.col("id").alias("leader")))
     members = usable.join(copies, "embedding").select("id", "rep")
     grouped = members.join(of_rep.withColumnRenamed("id", "rep"), "rep").select("id", "leader")
@@ -45,7 +47,27 @@ def duplicate_groups(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     return grouped.join(sizes.select("leader"), "leader", "left_semi").select("id", "leader")
 
 
-def _rounds(placed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _chains(found: DataFrame) -> DataFrame:
+    """Ids that lead for certain, from ``id, neighbours``: the lowest two undecided neighbours below each product.
+
+    Without one a product leads. With a single one it leads if and only if that one does
+    not, so such products form chains; pointer jumping halves their length in every step
+    and counts how often the answer turns over. Chains that end at a product with two or
+    more stay undecided.
+    """
+    size = F.size("neighbours")
+    links = cut_lineage(found.where(size <= 1).select("id", F.coalesce(F.get("neighbours", 0), F.col("id")).alias("to"), size.alias("turns")))
+    while True:
+        ahead = links.where("turns > 0").select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("turns").alias("more"))
+        jumped = links.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("turns") + F.coalesce("more", F.lit(0))).alias("turns"), F.col("next").isNotNull().alias("moved"))
+        links = cut_lineage(jumped)
+        if links.where("moved").isEmpty():
+            break
+    ends = links.where("id = to AND turns = 0").select(F.col("id").alias("to"))
+    return links.join(ends, "to", "left_semi").where("turns % 2 = 0").select("id")
+
+
+def _rounds(placed: DataFrame, threshold: float, tree: CoverTree) -> tuple[DataFrame, DataFrame]:
     undecided, leaders, settled = placed, None, None
     number = 0
     while not undecided.isEmpty():
@@ -53,11 +75,11 @@ def _rounds(placed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         # In a core any two vectors are neighbours, so only its lowest id can lead.
         lowest = undecided.where("core").groupBy("cell").agg(F.min("id").alias("core_first"))
         open_ = undecided.join(lowest, "cell", "left").where("NOT (core AND id > core_first)").drop("core_first")
-        found = lowest_neighbour(open_, undecided, threshold)
-        new = open_.join(found, "id", "left").where("neighbour IS NULL OR id < neighbour").drop("neighbour")
-        new = cut_lineage(new.select(*placed.columns))
+        found = lowest_neighbours(open_, undecided, threshold, tree, 2, below=True)
+        below = open_.select("id").join(found, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(found.schema["neighbours"].dataType)))
+        new = cut_lineage(undecided.join(_chains(below), "id", "left_semi").select(*placed.columns))
         rest = undecided.join(new.select("id"), "id", "left_anti")
-        next_to = cut_lineage(lowest_neighbour(rest, new, threshold).select("id"))
+        next_to = cut_lineage(lowest_neighbours(rest, new, threshold, tree).select("id"))
         now_settled = rest.join(next_to, "id", "left_semi")
         undecided = cut_lineage(rest.join(next_to, "id", "left_anti"))
         leaders = new if leaders is None else leaders.unionByName(new)
