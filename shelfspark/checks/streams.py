@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from shelfspark.checks.registry import check
 from shelfspark.operators import ranking
 from shelfspark.session import scratch_path
-from shelfspark.streaming import jobs
+from shelfspark.streaming import jobs, live_sessions
 
 
 def events(t):
@@ -66,8 +66,8 @@ SELECT session_id, epoch_us(min(ts)) AS started, 'u' || cast(arg_max(event_id, t
 FROM n GROUP BY session_id, s"""
 
 
-def shown_state(df):
-    return df.select("session_id", micros("started"), "user_message", F.size("results").alias("items"), "fact_city", "fact_brand", "turns")
+def shown_state(df, *more):
+    return df.select("session_id", micros("started"), "user_message", F.size("results").alias("items"), "fact_city", "fact_brand", "turns", *more)
 
 
 @check("st04_stream_session_state", f"{STATE} HAVING {CLOSED}")
@@ -75,6 +75,18 @@ def _(t):
     return shown_state(jobs.run_available(jobs.session_state(turns(events(t))), mode="append", label="state"))
 
 
+# The last session of each user; it has expired once the watermark is two hours past its last turn.
+@check("st04_live_session_state", f"""
+SELECT session_id::VARCHAR AS session_id, started, user_message, items, fact_city, fact_brand, turns,
+  last <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR AS expired
+FROM ({STATE.replace("SELECT session_id,", "SELECT session_id, max(ts) AS last,", 1)}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY started DESC) = 1""")
+def _(t):
+    folder = scratch_path(t.spark, "live")
+    table = live_sessions.session_table(t.spark, folder)
+    live_sessions.run_live(turns(events(t)), table, f"{folder}-checkpoint")
+    return shown_state(table.read(), "expired")
+
+
 @check("st04_session_state_batch_twin", STATE)
 def _(t):
     return shown_state(jobs.session_state(turns(t.events)))
@@ -84,8 +96,9 @@ def _(t):
 SELECT user_id, event_type AS signal_value, count(*) AS count, round(1.0::DOUBLE + 0.1::DOUBLE * (count(*) - 1), 6) AS weight, epoch_us(max(ts)) AS last_seen FROM events GROUP BY 1, 2""")
 def _(t):
     rows = events(t).select("user_id", F.lit("city_search").alias("signal_type"), F.col("event_type").alias("signal_value"), "ts")
-    state = jobs.run_available(jobs.signals(rows), ["user_id", "signal_type", "signal_value"], label="signals")
-    return state.select("user_id", "signal_value", "count", "weight", micros("last_seen"))
+    folder = scratch_path(t.spark, "signals")
+    table = jobs.upsert_stream(rows, jobs.signal_parts, jobs.merge_signals, jobs.SIGNAL_KEYS, folder, f"{folder}-checkpoint")
+    return jobs.weighed_signals(table.read()).select("user_id", "signal_value", "count", "weight", micros("last_seen"))
 
 
 def statements(df):
@@ -102,8 +115,9 @@ SELECT user_id, attribute, 'v' || cast(arg_max(event_id, ts) AS varchar) AS valu
 
 @check("st06_stream_attribute_upsert", ATTRIBUTES)
 def _(t):
-    state = jobs.run_available(jobs.attributes(statements(events(t))), ["user_id", "attribute"], label="attributes")
-    return state.select("user_id", "attribute", "value", "confidence", F.length("source").alias("source_length"))
+    folder = scratch_path(t.spark, "attributes")
+    table = jobs.upsert_stream(statements(events(t)), jobs.attributes, jobs.merge_attributes, jobs.ATTRIBUTE_KEYS, folder, f"{folder}-checkpoint")
+    return table.read().select("user_id", "attribute", "value", "confidence", F.length("source").alias("source_length"))
 
 
 @check("st06_attribute_upsert_batch_twin", ATTRIBUTES)
@@ -142,12 +156,12 @@ def _(t):
     keys = ["product_id", "store_id", "product_url"]
     rows = ranking.top_n(t.listings.where("product_url IS NOT NULL"), keys, [F.col("updated_at"), F.col("listing_id")], 2)
     folder = scratch_path(t.spark, "prices")
-    rows.where("rank = 1").select(
+    first = rows.where("rank = 1").select(
         "listing_id", *keys, "price", "availability", F.lit("r").alias("raw_name"), "image_url", F.lit(None).cast("timestamp").alias("image_url_updated_at"), "currency",
-        F.col("updated_at").cast("timestamp").alias("updated_at")).write.parquet(f"{folder}/listings/v=0")
+        F.col("updated_at").cast("timestamp").alias("updated_at"))
     feed = rows.where("rank = 2").select(*keys, "price", "availability", F.lit("r").alias("raw_name"), "image_url", "currency", F.col("listing_id").alias("position"))
     feed.write.parquet(f"{folder}/feed")
     stream = t.spark.readStream.schema(feed.schema).parquet(f"{folder}/feed")
     now = F.to_timestamp(F.lit("2030-01-01 00:00:00"))
-    jobs.track_prices(stream, f"{folder}/listings", f"{folder}/changes", now, f"{folder}/checkpoint").awaitTermination()
+    jobs.track_prices(stream, jobs.listing_table(t.spark, f"{folder}/listings", first), f"{folder}/changes", now, f"{folder}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{folder}/changes").select(*keys, "old_price", "new_price", "old_availability", "new_availability")

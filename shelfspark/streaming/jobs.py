@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from shelfspark.operators.joins import price_changes
 from shelfspark.operators.upserts import last_row, upsert_listings
 from shelfspark.plans.profiles import attribute_rows
-from shelfspark.session import scratch_path
+from shelfspark.session import cut_lineage, scratch_path
+from shelfspark.streaming.keyed_table import KeyedTable
 
 SESSION_GAP = "2 hours"
 
@@ -70,22 +71,46 @@ def session_state(events: DataFrame, watermark: str = "1 hour", facts: tuple[str
     )
 
 
-def signals(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Implicit signals: repeats raise the weight by 0.1."""
-    timed = with_event_time(events, watermark=watermark)
-    grouped = timed.groupBy("user_id", "signal_type", "signal_value").agg(
-        F.count("*").alias("count"), F.max("ts").alias("last_seen")
-    )
-    return grouped.withColumn("weight", F.round(F.lit(1.0) + F.lit(0.1) * (F.col("count") - 1), 6))
+SIGNAL_KEYS = ["user_id", "signal_type", "signal_value"]
+ATTRIBUTE_KEYS = ["user_id", "attribute"]
+
+
+def signal_parts(events: DataFrame) -> DataFrame:
+    """Counts and last times of the signals in some events."""
+    return events.groupBy(*SIGNAL_KEYS).agg(F.count("*").alias("count"), F.max(F.col("ts").cast("timestamp")).alias("last_seen"))
+
+
+def merge_signals(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*SIGNAL_KEYS).agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
+
+
+def weighed_signals(merged: DataFrame) -> DataFrame:
+    """The first sight of a signal weighs 1, repeats raise the weight by 0.1."""
+    return merged.withColumn("weight", F.round(F.lit(1.0) + F.lit(0.1) * (F.col("count") - 1), 6))
+
+
+def signals(events: DataFrame) -> DataFrame:
+    """Implicit signals of a table of events."""
+    return weighed_signals(signal_parts(events))
+
 
+def merge_attributes(parts: DataFrame) -> DataFrame:
+    """The latest row of each attribute; of rows of one time the greatest value."""
+    row = F.struct("last_updated", "value", "confidence", "source")
+    return parts.groupBy(*ATTRIBUTE_KEYS).agg(F.max(row).alias("v")).select(*ATTRIBUTE_KEYS, "v.value", "v.confidence", "v.source", "v.last_updated")
 
-def attributes(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+
+def attributes(events: DataFrame) -> DataFrame:
     """Latest inferred attribute per user."""
-    timed = attribute_rows(with_event_time(events, watermark=watermark))
-    latest = F.max_by(F.struct("value", "confidence", "source"), F.struct("ts", "value")).alias("v")
-    return timed.groupBy("user_id", "attribute").agg(latest, F.max("ts").alias("last_updated")).select(
-        "user_id", "attribute", "v.*", "last_updated"
-    )
+    told = attribute_rows(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    return merge_attributes(told.select(*ATTRIBUTE_KEYS, "value", "confidence", "source", F.col("ts").alias("last_updated")))
+
+
+def listing_versions(rows: DataFrame) -> DataFrame:
+    """The last version of each listing."""
+    values = [c for c in rows.columns if c not in ("listing_id", "version")]
+    row = F.struct("version", *values)
+    return rows.groupBy("listing_id").agg(F.max(row).alias("v")).select("listing_id", "v.*").select(*rows.columns)
 
 
 def rate_breaches(events: DataFrame, per_minute: int, watermark: str = "1 minute") -> DataFrame:
@@ -151,21 +176,48 @@ def run_available(result: DataFrame, keys: list[str] | None = None, mode: str =
     return latest(spark.read.schema(schema).parquet(folder), keys or [])
 
 
-def track_prices(feed: DataFrame, listings_folder: str, changes_folder: str, as_of: Column, checkpoint: str):
-    """Scrape batches against the current listings: writes the changes and the next listing snapshot.
+def upsert_stream(
+    events: DataFrame, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], keys: list[str], folder: str, checkpoint: str
+) -> KeyedTable:
+    """Drain what the source holds now into a keyed table: each batch adds its own partial aggregate.
+
+    The query itself has no state, so nothing grows with the number of batches but the
+    rows of new keys.
+    """
+    spark = events.sparkSession
+    schema = partial(spark.createDataFrame([], events.schema)).schema
+    table = KeyedTable(spark, folder, schema, keys, merge)
+    query = events.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    query.foreachBatch(lambda batch, number: table.add(partial(batch), number)).start().awaitTermination()
+    return table
+
+
+def listing_table(spark: SparkSession, folder: str, listings: DataFrame) -> KeyedTable:
+    """The listings as versions per listing; a new folder starts with the rows of ``listings``."""
+    start = listings.withColumn("version", F.lit(0).cast("bigint"))
+    table = KeyedTable(spark, folder, start.schema, ["listing_id"], listing_versions)
+    if not table.runs():
+        table.add(start, 0)
+    return table
+
+
+def track_prices(feed: DataFrame, listings: KeyedTable, changes_folder: str, as_of: Column, checkpoint: str):
+    """Scrape batches against the current listings: writes the changes and the listings that a batch touches.
 
-    The snapshot of batch n is ``listings_folder/v=n``; a batch that runs again after a
-    failure reads version n-1 and writes the same rows.
+    A batch reads the listings of its own keys and adds their new versions, so what it
+    writes follows the batch, not the table. A batch that runs again after a failure writes
+    the same rows, or nothing where it had come to its end.
     """
-    spark = feed.sparkSession
+    keyed = ["product_id", "store_id", "product_url"]
 
     def apply(batch: DataFrame, number: int) -> None:
-        current = spark.read.parquet(f"{listings_folder}/v={number}")
-        keyed = ["product_id", "store_id", "product_url"]
+        if listings.has(number + 1):
+            return  # its changes were written before
+        batch = cut_lineage(batch)  # read four times
+        current = cut_lineage(listings.read().join(batch.select(*keyed).distinct(), keyed, "left_semi").drop("version"))
         arriving = batch.groupBy(*keyed).agg(last_row("price", "availability").alias("v")).select(*keyed, "v.*")
         price_changes(current, arriving, keyed, as_of).write.mode("overwrite").parquet(f"{changes_folder}/batch={number}")
-        upsert_listings(current, batch, as_of).drop("is_new").write.mode("overwrite").parquet(
-            f"{listings_folder}/v={number + 1}"
-        )
+        touched = upsert_listings(current, batch, as_of).drop("is_new")
+        listings.add(touched.withColumn("version", F.lit(number + 1).cast("bigint")), number + 1)
 
     return feed.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(apply).start()
