@@ -332,7 +332,7 @@ SELECT q.query_id, count(rank) FILTER (WHERE rank <= 20) AS total, count(rank) A
 FROM q LEFT JOIN fin f ON f.query_id = q.query_id GROUP BY q.query_id""")
 def _(t):
     asked = queries(t)
-    return ps.search_totals(asked, ps.ranked_results(asked, t.listings, t.products, t.stores, items(t)))
+    return ps.search_totals(asked, ps.filtered_results(asked, t.listings, t.products, t.stores, items(t)))
 
 
 @check("u01_tiered_merge", f"{core()} SELECT query_id, product_id, store_id, tier, round(sim, 6) AS similarity FROM merged")
@@ -526,6 +526,17 @@ def _(t):
     return patterns.pattern_join(asked, t.stores.select("name_he").distinct(), "name_he").select("pattern_of", "name_he")
 
 
+# Patterns of one letter and of wildcards only, which no piece of three characters serves.
+@check("x02_pattern_join_short", """
+WITH p AS (SELECT DISTINCT '%' || left(name_he, 1) || '%' AS pattern FROM v_stores UNION SELECT '%' UNION SELECT '_%e_' UNION SELECT '%zzz%' UNION SELECT ''),
+s AS (SELECT DISTINCT name_he FROM v_stores)
+SELECT pattern, name_he FROM p JOIN s ON name_he ILIKE pattern""")
+def _(t):
+    asked = t.stores.select(F.concat(F.lit("%"), F.left("name_he", F.lit(1)), F.lit("%")).alias("pattern"))
+    asked = asked.unionAll(t.spark.createDataFrame([("%",), ("_%e_",), ("%zzz%",), ("",)], "pattern string")).distinct()
+    return patterns.pattern_join(asked, t.stores.select("name_he").distinct(), "name_he", list_rows=50).select("pattern", "name_he")
+
+
 @check("x10_embed_text", """
 SELECT product_id, CASE WHEN coalesce(brand, '') = '' THEN canonical_name ELSE brand || ' ' || canonical_name END AS text FROM v_products""")
 def _(t):

@@ -1,8 +1,9 @@
 """Equi-joins that find ILIKE matches and points within a radius for whole batches.
 
-A pattern is looked up by one short piece of its longest literal run: every text
-offers its pieces, matching pieces meet in a hash join, and ``ilike`` decides. A
-radius is looked up in a grid whose cell size fits it. Neither loops over all pairs.
+A pattern is looked up by the rarest short piece of its literal runs: posting lists of the
+texts' pieces are counted, the piece of a pattern with the shortest list meets the texts in a
+hash join, and ``ilike`` decides. Long lists are dealt over several tasks. A radius is looked
+up in a grid whose cell size fits it. Neither loops over all pairs.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.session import cut_lineage
+
 GRAM = 3
+LIST_ROWS = 100_000
 
 
 def pieces(text: Column) -> Column:
@@ -31,23 +35,45 @@ def tidy_pattern(pattern: Column) -> Column:
     return F.regexp_replace(pattern, r"\\([^%_\\])", "$1")
 
 
-def lookup_piece(pattern: Column) -> Column:
-    """A piece every match must hold: the start of the longest run without wildcards."""
+def lookup_pieces(pattern: Column) -> Column:
+    """Pieces that every match must hold: all of ``GRAM`` characters, else the longest runs, else the empty piece."""
     runs = F.split(F.lower(pattern), r"[%_\\]+")
-    longest = F.reduce(runs, F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best))
-    return F.substring(longest, 1, GRAM)
+    size = F.least(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(GRAM))
+    cut = lambda run: F.transform(
+        F.sequence(F.lit(1), F.length(run) - size + 1), lambda i: F.substring(run, i, size)
+    )
+    return F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= size), cut)))
 
 
-def pattern_join(patterns: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
+def rarest_pieces(patterns: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """``pattern, piece, texts``: the piece of each pattern that the fewest texts hold, and how many these are.
+
+    Patterns with a piece that no text holds match nothing and are left out. Pieces are
+    counted only where a pattern asks for them.
+    """
+    wanted = patterns.select("pattern").distinct().withColumn("piece", F.explode(lookup_pieces(F.col("pattern"))))
+    offered = texts.select(F.explode(pieces(F.col(text))).alias("piece"))
+    counted = offered.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("texts"))
+    held = wanted.join(counted, "piece", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    rarest = held.groupBy("pattern").agg(F.min(F.struct("texts", "piece")).alias("r")).select("pattern", "r.piece", "r.texts")
+    return rarest.where("texts > 0")
+
+
+def pattern_join(patterns: DataFrame, texts: DataFrame, text: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
     """Rows of ``patterns`` (with a ``pattern`` column) joined to the texts they match.
 
-    ``texts`` should hold each distinct text once.
+    ``texts`` should hold each distinct text once. Texts that hold a piece are dealt into
+    lists of about ``list_rows``, each of which meets the patterns of that piece; a pattern
+    of wildcards only has the empty piece, which every text holds.
     """
-    asked = patterns.withColumn("pattern", tidy_pattern(F.col("pattern"))).withColumn(
-        "_piece", lookup_piece(F.col("pattern"))
-    )
-    offered = texts.withColumn("_piece", F.explode(pieces(F.col(text))))
-    return offered.join(asked, "_piece").where(F.ilike(F.col(text), F.col("pattern"))).drop("_piece")
+    asked = patterns.withColumn("pattern", tidy_pattern(F.col("pattern")))
+    chosen = cut_lineage(rarest_pieces(asked, texts, text).withColumn("_lists", F.ceil(F.col("texts") / list_rows)))
+    lists = chosen.groupBy(F.col("piece").alias("_piece")).agg(F.max("_lists").alias("_lists"))
+    offered = texts.withColumn("_piece", F.explode(pieces(F.col(text)))).join(lists, "_piece")
+    offered = offered.withColumn("_list", F.pmod(F.xxhash64(text), F.col("_lists"))).drop("_lists")
+    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_lists") - 1)).alias("_list")
+    keyed = asked.join(chosen.select("pattern", F.col("piece").alias("_piece"), spread), "pattern")
+    return offered.join(keyed, ["_piece", "_list"]).where(F.ilike(F.col(text), F.col("pattern"))).drop("_piece", "_list")
 
 
 _BASE_DEGREES = 0.05

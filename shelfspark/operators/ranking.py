@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import cut_lineage
+
 
 def rank_within(df: DataFrame, keys: list, order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -22,6 +24,27 @@ def top_n(df: DataFrame, keys: list, order: list[Column], n: int, name: str = "r
     return rank_within(df, keys, order, name).where(F.col(name) <= n)
 
 
+def rank_all(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Every row's rank within its key, without bringing a key's rows to one task.
+
+    Rows are dealt by ranges of (key, order), so that a hot key fills many partitions, and
+    written; what is ranked then is one row per key and partition, whose counts give the
+    number of rows before it. ``order`` must be total for the result to be repeatable.
+    """
+    by = [F.col(k) for k in keys]
+    dealt = cut_lineage(df).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = cut_lineage(dealt.withColumn("_rank_at", F.monotonically_increasing_id()))  # partition * 2^33 + row
+    part = F.shiftright("_rank_at", 33)
+    parts = placed.groupBy(*keys, part.alias("_rank_part")).agg(F.min("_rank_at").alias("_rank_first"), F.count("*").alias("_rank_n"))
+    before = Window.partitionBy(*keys).orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_rank_before", F.coalesce(F.sum("_rank_n").over(before), F.lit(0))).drop("_rank_n")
+    same = F.col("d._rank_part") == F.col("p._rank_part")
+    for key in keys:
+        same &= F.col(f"d.{key}").eqNullSafe(F.col(f"p.{key}"))
+    ranked = placed.withColumn("_rank_part", part).alias("d").join(parts.alias("p"), same)
+    return ranked.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("_rank_at") - F.col("_rank_first") + F.col("_rank_before") + 1).cast("int").alias(name))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
     """One row per key: the lowest (or highest) by ``order``, then by its other values that Spark can order.
 

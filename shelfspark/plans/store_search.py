@@ -10,7 +10,7 @@ from shelfspark.functions.text import expand_city
 from shelfspark.operators.filters import list_filter, store_filter
 from shelfspark.operators.joins import stores_with_counts
 from shelfspark.operators.patterns import near_join, pattern_join
-from shelfspark.operators.ranking import first_per_key, rank_within, top_n
+from shelfspark.operators.ranking import first_per_key, rank_all, rank_within, top_n
 
 # Rows per bucket and the multiple of the limit at which a capped search stops; no defaults.
 BUCKET_ROWS = 10
@@ -89,7 +89,9 @@ def city_expanded_search(
     merged = first_per_key(found, ["query_id", "store_id"], ["bucket"])
     if stop_factor is not None:
         merged = _stop_early(merged, stop_factor)
-    ranked = rank_within(merged, ["query_id"], [F.col("bucket"), F.col("_less"), F.col("store_id")])
+    # No list is longer than the longest asked for, so no task ranks more rows of a query than that.
+    longest = queries.agg(F.max("limit")).first()[0] or 0
+    ranked = top_n(merged, ["query_id"], [F.col("bucket"), F.col("_less"), F.col("store_id")], longest)
     return ranked.where(F.col("rank") <= F.col("limit")).drop("_less", "_city")
 
 
@@ -117,7 +119,7 @@ def collapse_chains(results: DataFrame, links: DataFrame) -> DataFrame:
     return rank_within(cards, ["query_id"], [F.col("_rank")]).drop("_rank", "card")
 
 
-def instock_first(df: DataFrame, score: str = "similarity", keys: list[str] | None = None) -> DataFrame:
-    """Availability first, then score, ties by product and store."""
+def instock_first(df: DataFrame, score: str = "similarity", keys: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Availability first, then score, ties by product and store; all rows, or the first ``rows`` of each key."""
     order: list[Column] = [F.desc("availability"), F.desc(score), F.col("product_id"), F.col("store_id")]
-    return rank_within(df, keys or ["query_id"], order)
+    return rank_all(df, keys or ["query_id"], order) if rows is None else top_n(df, keys or ["query_id"], order, rows)

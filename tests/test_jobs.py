@@ -122,6 +122,31 @@ def test_percentiles_with_one_hot_group(spark, rows):
         assert picks[key]["b"] == values[int(len(values) * 0.95)]
 
 
+def test_ranks_of_hot_and_null_keys(spark):
+    data = [("hot", i * 7919 % 5000) for i in range(5000)] + [(None, 1), (None, None), ("b", 3), ("b", 2)]
+    df = spark.createDataFrame(data, "k string, v int").repartition(7)
+    got = ranking.rank_all(df, ["k"], [F.desc("v")])
+    assert got.schema["rank"].dataType.simpleString() == "int"
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, ranking.rank_within(df, ["k"], [F.desc("v")]).collect()))
+    assert ranking.rank_all(df.limit(0), ["k"], [F.desc("v")]).collect() == []
+
+
+def test_equal_positions_have_one_winner(spark):
+    """Feed rows of one position: the greatest values win, however the rows are dealt."""
+    data = [("p", 1, "u", 21215.9, False, "a", "i1", "USD", 5), ("p", 1, "u", 85323.69, True, "a", "i2", "ILS", 5), ("p", 1, "u", 3.0, True, "z", None, "EUR", 4)]
+    feed = spark.createDataFrame(data, "product_id string, store_id int, product_url string, price double, availability boolean, raw_name string, image_url string, currency string, position int")
+    target = feed.limit(0).select(F.lit("l").alias("listing_id"), "product_id", "store_id", "product_url", "price", "availability", "raw_name", "image_url",
+                                  F.lit(None).cast("timestamp").alias("image_url_updated_at"), "currency", F.lit(None).cast("timestamp").alias("updated_at"))
+    for dealt in (feed.coalesce(1), feed.orderBy(F.desc("price")).coalesce(1), feed.repartition(3)):
+        row = upserts.upsert_listings(target, dealt, F.lit(None).cast("timestamp")).first()
+        assert (row.price, row.availability, row.image_url, row.currency) == (85323.69, True, "i2", "EUR")
+    stores = spark.createDataFrame([(1, "u", "old", "c")], "store_id int, partner_url string, name_he string, store_category string")
+    said = spark.createDataFrame([("u", "a", "x", 1), ("u", "b", None, 1)], "partner_url string, name_he string, store_category string, position int")
+    row = upserts.upsert_stores(stores, said, ["name_he"]).first()
+    assert row.name_he == "b"
+    assert upserts.update_store_categories(stores, said).first().store_category == "x"
+
+
 def test_pattern_join_equals_a_loop(spark):
     texts = ["Red Ring", "string", "50% off", "a_b", "axb", "", "Ünï"]
     asked = ["%ring%", "%50\\%%", "%a_b%", "%a\\_b%", "%%", "%ÜN%", "%x%", "%r\\ing%", "_xb"]
