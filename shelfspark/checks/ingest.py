@@ -94,11 +94,14 @@ def rest_raw(t):
     return _pages(held(t), item).select("store_id", "page", F.to_json("items").alias("body"))
 
 
-@check("s05_rest_feed_flatten", f"""
-WITH h AS ({HELD}) SELECT store_id, canonical_name || ' ' || cast(product_id AS varchar) AS name,
+REST_SQL = """
+SELECT store_id, canonical_name || ' ' || cast(product_id AS varchar) AS name,
  CASE product_id % 4 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Own' WHEN 2 THEN 'Own' END AS brand, CASE WHEN product_id % 5 <> 0 THEN 'Home' END AS category_path,
  CASE WHEN product_id % 7 <> 0 THEN 'https://r.example.com/' || cast(product_id AS varchar) END AS product_url,
- CASE WHEN product_id % 3 = 2 THEN 3.25::DOUBLE ELSE product_id + 0.5::DOUBLE END AS price, product_id % 2 = 0 AS availability FROM h""")
+ CASE WHEN product_id % 3 = 2 THEN 3.25::DOUBLE ELSE product_id + 0.5::DOUBLE END AS price, product_id % 2 = 0 AS availability FROM h"""
+
+
+@check("s05_rest_feed_flatten", f"WITH h AS ({HELD}) {REST_SQL}")
 def _(t):
     return feeds.flatten_rest_feed(rest_raw(t)).drop("position")
 
@@ -177,11 +180,14 @@ def product_pages(t):
 PLANTED = "p AS (SELECT page_id, url, page_id % 10 AS k FROM pages WHERE contains(html, '</article>'))"
 
 
-@check("s06_page_jsonld_products", f"""
-WITH {PLANTED} SELECT page_id, CASE WHEN k = 6 THEN '' ELSE 'P' || cast(page_id AS varchar) END AS canonical_name, CASE k WHEN 0 THEN 'Acme' WHEN 1 THEN 'Bolt' END AS brand,
+JSONLD_SQL = """
+SELECT page_id, CASE WHEN k = 6 THEN '' ELSE 'P' || cast(page_id AS varchar) END AS canonical_name, CASE k WHEN 0 THEN 'Acme' WHEN 1 THEN 'Bolt' END AS brand,
  CASE WHEN k = 0 THEN 1234.5 WHEN k = 1 THEN nullif(page_id, 0)::DOUBLE WHEN k = 2 THEN page_id + 0.5::DOUBLE END::DOUBLE AS price, CASE WHEN k = 0 THEN 'USD' ELSE 'ILS' END AS currency,
  k <> 7 AS availability, CASE WHEN k = 6 THEN 'https://u/' || cast(page_id AS varchar) ELSE url END AS product_url, CASE k WHEN 2 THEN 'C' WHEN 8 THEN 'K' END AS category_path,
- CASE WHEN k < 4 THEN 'i' || cast(k AS varchar) END AS image_url FROM p WHERE k IN (0, 1, 2, 3, 6, 7, 8)""")
+ CASE WHEN k < 4 THEN 'i' || cast(k AS varchar) END AS image_url FROM p WHERE k IN (0, 1, 2, 3, 6, 7, 8)"""
+
+
+@check("s06_page_jsonld_products", f"WITH {PLANTED} {JSONLD_SQL}")
 def _(t):
     return pages.pages_to_products(product_pages(t))
 
@@ -525,6 +531,78 @@ def _(t):
     return _refresh(t)["scrape_runs"].select("store_id", "items_scraped", "items_new", "status")
 
 
+def _refresh_all(t):
+    """Storefront, REST and page feeds in one refresh."""
+    n = t.stores.agg(F.count("*")).scalar()
+    found = pages.pages_to_products(product_pages(t)).withColumn("store_id", F.col("page_id") % n + 1)
+    feed = refresh.all_feeds(
+        refresh.feed_rows(feeds.flatten_storefront(storefront_raw(t))), refresh.rest_feed_rows(feeds.flatten_rest_feed(rest_raw(t))), refresh.page_feed_rows(found))
+    known = t.sql(UNIQUE).where("product_id % 2 = 0")
+    keys = ["product_id", "store_id"]
+    current = ranking.first_per_key(t.listings.where("product_id % 2 = 0").select("listing_id", *keys, "price", "availability"), keys, ["listing_id"])
+    shop = F.concat(F.lit("https://shop"), F.col("store_id").cast("string"), F.lit(".example.com/products/h-"), F.col("product_id").cast("string"))
+    current = current.select(
+        "listing_id", *keys, F.when(F.col("product_id") % 4 == 0, shop).otherwise("https://old").alias("product_url"), "price", "availability",
+        F.lit("old").alias("raw_name"), F.lit("old.png").alias("image_url"), F.lit(None).cast("timestamp").alias("image_url_updated_at"),
+        F.lit("EUR").alias("currency"), F.lit(None).cast("timestamp").alias("updated_at"))
+    stores = t.stores.withColumn("scrape_status", F.lit("pending")).withColumn("scrape_error", F.lit("old")).withColumn("last_scraped_at", F.lit(None).cast("timestamp"))
+    return refresh.refresh_catalog(feed, known, current, stores, as_of())
+
+
+ALL_FEEDS = f"""
+{FRONT}, {PLANTED.strip().removeprefix("WITH ")},
+rest AS ({REST_SQL}),
+found AS ({JSONLD_SQL}),
+feed AS (
+  SELECT store_id, 0 AS kind, product_id AS pos, title AS name, vendor AS brand, product_type AS category_path, price, availability, product_url, image_url, 'ILS' AS currency FROM front
+  UNION ALL SELECT store_id, 1, cast(regexp_extract(name, '[0-9]+$') AS BIGINT), name, brand, category_path, price, availability, product_url, NULL, NULL FROM rest
+  UNION ALL SELECT page_id % (SELECT count(*) FROM v_stores) + 1, 2, page_id, canonical_name, brand, category_path, price, availability, product_url, image_url, currency FROM found WHERE canonical_name <> ''),
+u AS ({UNIQUE}), known AS (SELECT * FROM u WHERE product_id % 2 = 0),
+ids AS (SELECT DISTINCT feed.name, coalesce(cast(known.product_id AS varchar), md5(feed.name)) AS product_id FROM feed LEFT JOIN known ON known.canonical_name = feed.name),
+named AS (SELECT feed.*, ids.product_id FROM feed JOIN ids ON ids.name = feed.name),
+cur AS (SELECT listing_id, cast(product_id AS varchar) AS product_id, store_id, price, availability,
+  CASE WHEN product_id % 4 = 0 THEN 'https://shop' || cast(store_id AS varchar) || '.example.com/products/h-' || cast(product_id AS varchar) ELSE 'https://old' END AS product_url
+  FROM v_listings WHERE product_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY product_id, store_id ORDER BY listing_id, price NULLS FIRST, availability NULLS FIRST) = 1)"""
+PLACE = "{'s': store_id, 'k': kind, 'p': pos}"
+
+
+@check("c12_products", f"""WITH {ALL_FEEDS},
+n AS (SELECT name, arg_max(brand, {PLACE}) FILTER (WHERE brand IS NOT NULL) AS brand, arg_max(category_path, {PLACE}) FILTER (WHERE category_path IS NOT NULL) AS category_path FROM feed GROUP BY name)
+SELECT coalesce(cast(known.product_id AS varchar), md5(n.name)) AS product_id, coalesce(n.name, known.canonical_name) AS canonical_name, coalesce(n.brand, known.brand) AS brand,
+  coalesce(n.category_path, known.category_path) AS category_path, known.product_id IS NULL AS is_new FROM n FULL OUTER JOIN known ON known.canonical_name = n.name""")
+def _(t):
+    return _refresh_all(t)["products"]
+
+
+@check("c12_listings", f"""WITH {ALL_FEEDS},
+r AS (SELECT *, row_number() OVER (PARTITION BY product_id, store_id, product_url ORDER BY kind DESC, pos DESC) AS back FROM named WHERE product_url IS NOT NULL),
+f AS (SELECT product_id, store_id, product_url, any_value(price) FILTER (WHERE back = 1) AS price, any_value(availability) FILTER (WHERE back = 1) AS availability, any_value(name) FILTER (WHERE back = 1) AS raw_name,
+  arg_max(image_url, {PLACE}) FILTER (WHERE image_url IS NOT NULL) AS image_url, list(currency ORDER BY kind, pos)[1] AS currency FROM r GROUP BY 1, 2, 3)
+SELECT coalesce(f.product_id, cur.product_id) AS product_id, coalesce(f.store_id, cur.store_id) AS store_id, coalesce(f.product_url, cur.product_url) AS product_url,
+  CASE WHEN f.product_id IS NULL THEN cur.price ELSE f.price END AS price, CASE WHEN f.product_id IS NULL THEN cur.availability ELSE f.availability END AS availability,
+  coalesce(f.raw_name, 'old') AS raw_name, coalesce(f.image_url, CASE WHEN cur.listing_id IS NOT NULL THEN 'old.png' END) AS image_url, CASE WHEN cur.listing_id IS NULL THEN f.currency ELSE 'EUR' END AS currency, cur.listing_id IS NULL AS is_new
+FROM cur FULL OUTER JOIN f ON f.product_id = cur.product_id AND f.store_id = cur.store_id AND f.product_url = cur.product_url
+UNION ALL SELECT product_id, store_id, NULL, price, availability, name, image_url, currency, true FROM named WHERE product_url IS NULL""")
+def _(t):
+    shown = ("product_id", "store_id", "product_url", "price", "availability", "raw_name", "image_url", "currency", "is_new")
+    return _refresh_all(t)["listings"].select(*shown)
+
+
+@check("c12_price_changes", f"""WITH {ALL_FEEDS},
+last AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY product_id, store_id ORDER BY kind DESC, pos DESC) = 1)
+SELECT last.product_id, last.store_id, cur.price AS old_price, last.price AS new_price, cur.availability AS old_availability, last.availability AS new_availability
+FROM cur JOIN last ON last.product_id = cur.product_id AND last.store_id = cur.store_id WHERE cur.price IS DISTINCT FROM last.price OR cur.availability IS DISTINCT FROM last.availability""")
+def _(t):
+    return _refresh_all(t)["price_changes"].select("product_id", "store_id", "old_price", "new_price", "old_availability", "new_availability")
+
+
+@check("c12_stores", f"""WITH {ALL_FEEDS}, fed AS (SELECT DISTINCT store_id FROM feed)
+SELECT s.store_id, CASE WHEN fed.store_id IS NULL THEN 'pending' ELSE 'done' END AS scrape_status, CASE WHEN fed.store_id IS NULL THEN 'old' END AS scrape_error, fed.store_id IS NOT NULL AS scraped
+FROM v_stores s LEFT JOIN fed ON fed.store_id = s.store_id""")
+def _(t):
+    return _refresh_all(t)["stores"].select("store_id", "scrape_status", "scrape_error", F.col("last_scraped_at").isNotNull().alias("scraped"))
+
+
 # ---- scalars --------------------------------------------------------------------------
 
 
