@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.checks.registry import check
 from shelfspark.operators import joins, vectors
-from shelfspark.plans import dedup
+from shelfspark.checks.traffic import PRICE_AUDIT
+from shelfspark.plans import dedup, quality
 
 PAIRS = """
 pairs AS (SELECT a.product_id AS id, b.product_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS sim
@@ -115,6 +116,18 @@ def _(t):
     return dedup.duplicate_rate(found, t.planted_vectors)
 
 
+@check("c18_gate_with_duplicates", f"""WITH RECURSIVE {WALK}, p AS ({PRICE_AUDIT}), vals AS (
+ SELECT 'suspect_price_pct' AS "check", suspect_pct AS value, 0.5::DOUBLE AS target FROM p
+ UNION ALL SELECT 'median_age_days', quantile_cont(date_diff('day', updated_at, (SELECT max(updated_at) FROM v_listings)), 0.5)::DOUBLE, 14.0 FROM v_listings
+ UNION ALL SELECT 'missing_brand_pct', round(100.0::DOUBLE * count(*) FILTER (WHERE coalesce(brand, '') = '') / count(*), 2), 3.0 FROM v_products
+ UNION ALL SELECT 'image_pct', round(100.0::DOUBLE * count(nullif(image_url, '')) / count(*), 2), 60.0 FROM v_listings
+ UNION ALL SELECT 'duplicate_pct', round(100.0::DOUBLE * (SELECT count(*) - count(DISTINCT leader) FROM members) / (SELECT count(*) FROM v_emb_dup), 2), 2.0)
+SELECT "check", value, target, CASE "check" WHEN 'median_age_days' THEN value <= target WHEN 'image_pct' THEN value > target ELSE value < target END AS passed FROM vals""")
+def _(t):
+    rate = dedup.duplicate_rate(dedup.group_canonical(groups(t), listings(t)), t.planted_vectors)
+    return quality.quality_gate(t.listings, t.products, t.stores, rate)
+
+
 # Every vector stands three times in the table: copies must stay one group with their original.
 @check("c06_groups_of_copies", f"""WITH RECURSIVE {WALK}, base AS (SELECT e.product_id, coalesce(m.leader, e.product_id) AS leader FROM v_emb_dup e LEFT JOIN members m ON m.id = e.product_id)
 SELECT product_id + k * 3 * (SELECT max(vec_id) + 1 FROM embeddings) AS id, leader FROM base, (SELECT unnest([0, 1, 2]) AS k)""")

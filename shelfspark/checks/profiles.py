@@ -7,6 +7,7 @@ from shelfspark.functions import numbers, records, rules, text
 from shelfspark.operators import joins
 from shelfspark.plans import evaluation as ev
 from shelfspark.plans import profiles
+from shelfspark.streaming import jobs
 
 # ---- evaluation -------------------------------------------------------------------
 
@@ -194,6 +195,22 @@ def _(t):
     return profiles.session_strip(facts(t)).select("session_id", "label", "rank")
 
 
+# 'oops' is no list and gives no line, nor does a missing value.
+@check("c15_context_text", f"""
+WITH k AS (SELECT user_id, max(value) FILTER (WHERE key = 'default_max_price') AS price, max(value) FILTER (WHERE key = 'preferred_cities') AS cities FROM ({PREFS}) GROUP BY 1),
+g AS (SELECT user_id, event_type AS city, count(*) AS n FROM events GROUP BY 1, 2),
+c AS (SELECT user_id, string_agg(city, ', ' ORDER BY n DESC, city) AS cities FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, city) AS rn FROM g) WHERE rn <= 3 GROUP BY 1),
+s AS (SELECT user_id, string_agg('  - ' || message || ' (' || strftime(searched_at, '%Y-%m-%d') || ')', chr(10) ORDER BY rn) AS recent
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY searched_at DESC, search_id DESC) AS rn FROM v_searches) WHERE rn <= 3 GROUP BY 1)
+SELECT u.user_id, concat_ws(chr(10), '{rules.CONTEXT_HEAD}', '{rules.CONTEXT_BUDGET}' || k.price,
+  CASE WHEN k.cities = '[]' THEN '{rules.CONTEXT_CITIES}' WHEN k.cities <> 'oops' THEN '{rules.CONTEXT_CITIES}' || ', City' || u.user_id || ', Other' END,
+  '{rules.CONTEXT_SEARCHED_CITIES}' || c.cities, '{rules.CONTEXT_SEARCHES}' || chr(10) || s.recent, '{rules.CONTEXT_END}') AS context
+FROM v_users u LEFT JOIN k ON k.user_id = u.user_id LEFT JOIN c ON c.user_id = u.user_id LEFT JOIN s ON s.user_id = u.user_id""")
+def _(t):
+    seen = t.events.select("user_id", F.lit("city_search").alias("signal_type"), F.col("event_type").alias("signal_value"), "ts")
+    return profiles.context_text(t.users.select("user_id"), t.sql(PREFS), jobs.signals(seen), t.searches)
+
+
 @check("c15_user_context", f"""
 WITH p AS (SELECT user_id, max(value) FILTER (WHERE key = 'default_max_price') AS price FROM ({PREFS}) GROUP BY 1),
 a AS (SELECT user_id, string_agg(attribute, ',' ORDER BY rn) AS attrs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, attribute) AS rn FROM ({ATTRS}) WHERE confidence >= 0.5) WHERE rn <= 5 GROUP BY 1),

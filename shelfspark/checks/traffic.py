@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from shelfspark.checks.registry import check
+from shelfspark.checks.registry import ORACLES, check
 from shelfspark.operators import joins, ranking
 from shelfspark.plans import quality, traffic
+from shelfspark.session import cut_lineage
+from shelfspark.sources import tables
 
 NOW = "(SELECT max(searched_at) FROM v_searches)"
 WEEK = f"searched_at > {NOW} - INTERVAL 7 DAY"
@@ -304,25 +306,60 @@ def _(t):
 @check("t07_topn_reports", """
 SELECT city_used, result_count, count(*) AS n FROM v_searches GROUP BY 1, 2 ORDER BY n DESC, city_used NULLS FIRST, result_count LIMIT 10""")
 def _(t):
-    grouped = t.searches.groupBy("city_used", "result_count").agg(F.count("*").alias("n"))
-    return grouped.orderBy(F.desc("n"), F.asc_nulls_first("city_used"), "result_count").limit(10)
-
-
-@check("c17_traffic_report", f"""
-WITH w AS (SELECT * FROM v_searches WHERE {WEEK})
-SELECT 'intent' AS report, intent AS label, count(*) AS n FROM w GROUP BY intent
-UNION ALL SELECT * FROM (SELECT 'message', message, count(*) FROM w GROUP BY message ORDER BY 3 DESC, 2 LIMIT 30)
-UNION ALL SELECT * FROM (SELECT 'city', city_used, count(*) FROM w WHERE city_used IS NOT NULL GROUP BY city_used ORDER BY 3 DESC, 2 LIMIT 15)
-UNION ALL SELECT 'tool', tool_name, count(*) FROM v_traces WHERE {TWEEK} GROUP BY tool_name""")
-def _(t):
-    report = traffic.traffic_report(t.searches, t.users, t.stores, t.traced)
-    parts = [("intent", "intent_breakdown", "intent", "hits"), ("message", "top_messages", "message", "times_asked"),
-             ("city", "city_demand", "city_used", "searches"), ("tool", "tool_success_rate", "tool_name", "calls")]
-    rows = [
-        report[table].select(F.lit(name).alias("report"), F.col(label).alias("label"), F.col(n).alias("n"))
-        for name, table, label, n in parts
-    ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return traffic.top_counts(t.searches, ["city_used", "result_count"], 10)
+
+
+# Every table of the report: its name, the query whose SQL it must equal, labels and numbers.
+REPORTS = {
+    "searches_recent": ("a01_searches_recent", [], ["last_24h", "last_7d", "all_time"]),
+    "active_users": ("a02_active_users", [], ["dau", "wau"]),
+    "top_messages": ("a03_top_messages", ["message"], ["times_asked", "avg_results", "zero_result_count"]),
+    "intent_breakdown": ("a04_intent_breakdown", ["intent"], ["hits", "avg_results", "zero_result_hits"]),
+    "zero_result_queries": ("a05_zero_result_queries", ["message", "intent"], ["times"]),
+    "returning_users": ("a06_returning_users", [], ["returning_users"]),
+    "user_activity_bands": ("a07_user_activity_bands", [], ["one_search_users", "light_users", "regular_users", "heavy_users"]),
+    "registration_conversion": ("a08_registration_conversion", [], ["imported_their_session", "new_users_7d"]),
+    "category_pull": ("a09_category_pull", ["store_category"], ["unique_searchers", "appearances_in_results"]),
+    "city_demand": ("a10_city_demand", ["city_used"], ["searches", "users"]),
+    "intent_share": ("a11_intent_share", ["intent"], ["turns", "pct"]),
+    "tool_success_rate": ("a12_tool_success_rate", ["tool_name"], ["calls", "successes", "success_pct"]),
+    "latency_percentiles": ("a13_latency_percentiles", [], ["p50_latency_ms", "p95_latency_ms"]),
+    "latency_by_intent": ("a13_latency_by_intent", ["intent"], ["p50_latency_ms", "p95_latency_ms"]),
+    "sessions_with_results": ("a14_sessions_with_results", [], ["sessions", "sessions_with_results"]),
+    "decision_signals": ("a15_decision_signals", ["signal"], ["value", "threshold"]),
+}
+
+
+def _report_sql():
+    parts = []
+    for name, (query, labels, numbers) in REPORTS.items():
+        label = "concat_ws('|', " + ", ".join(f"coalesce(cast({c} AS varchar), '')" for c in labels) + ")" if labels else "''"
+        for number in numbers:
+            parts.append(f"SELECT '{name}' AS report, {label} AS label, '{number}' AS measure, round(cast({number} AS DOUBLE), 6) AS value FROM ({ORACLES[query]})")
+    return " UNION ALL ".join(parts)
+
+
+@check("c17_traffic_report", _report_sql())
+def _(t):
+    report = traffic.traffic_report(cut_lineage(t.searches), t.users, t.stores, cut_lineage(t.traced), clarify_intent="signup")
+    out = None
+    for name, (_, labels, numbers) in REPORTS.items():
+        label = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labels])
+        values = F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in numbers]))
+        rows = report[name].select(F.lit(name).alias("report"), label.alias("label"), values)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@check("a16_last_runs", """
+WITH c AS (SELECT store_id, count(*) AS n FROM v_listings GROUP BY store_id)
+SELECT md5('store_products|' || store_id || '|2030-01-01 00:00:00') AS run_id, store_id, n AS items_scraped, store_id % 7 AS day FROM c ORDER BY day DESC, run_id DESC LIMIT 5""")
+def _(t):
+    from shelfspark.checks import ingest
+
+    day = F.col("store_id") % 7
+    runs = tables.scrape_run_rows(ingest.run_counts(t), ingest.as_of()).withColumn("started_at", F.dateadd(F.to_date(F.lit("2030-01-01")), day.cast("int")))
+    return quality.last_runs(runs).select("run_id", "store_id", "items_scraped", day.alias("day"))
 
 
 @check("c18_data_quality_gate", f"""

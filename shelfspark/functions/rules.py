@@ -176,3 +176,12 @@ INSTALLMENT_LIMIT = 40.0
 
 # Fixed value: category given when a path is not in the taxonomy.
 DEFAULT_CATEGORY_PATH = "Other > Uncategorized > General Products"
+
+# The lines of a user's context as text.
+CONTEXT_HEAD = "--- הקשר אישי של המשתמש ---"
+CONTEXT_BUDGET = "תקציב רגיל: עד ₪"
+CONTEXT_CITIES = "ערים מועדפות: "
+CONTEXT_CATEGORIES = "קטגוריות מועדפות: "
+CONTEXT_SEARCHED_CITIES = "ערים שחיפש לאחרונה: "
+CONTEXT_SEARCHES = "חיפושים אחרונים:"
+CONTEXT_END = "--- סוף הקשר ---"

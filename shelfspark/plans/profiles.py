@@ -135,6 +135,35 @@ def user_context(
     return wide.select("user_id", body.alias("context"))
 
 
+def context_text(users: DataFrame, preferences: DataFrame, signals: DataFrame, searches: DataFrame) -> DataFrame:
+    """``user_id, context``: a user's context as text lines.
+
+    Budget, preferred cities and categories come from ``preferences`` (``user_id, key,
+    value``, lists as JSON; what is no list is left out), the three strongest city searches
+    from ``signals`` (``user_id, signal_type, signal_value, weight``), and the last three
+    searches with their day from ``searches``. Lines without content are left out.
+    """
+    pick = lambda key: F.max(F.when(F.col("key") == key, F.nullif("value", F.lit("")))).alias(key)
+    keys = ("default_max_price", "preferred_cities", "preferred_categories")
+    wide = preferences.where(F.col("key").isin(*keys)).groupBy("user_id").agg(*[pick(k) for k in keys])
+    cities = top_n(signals.where("signal_type = 'city_search'"), ["user_id"], [F.desc("weight"), F.col("signal_value")], 3)
+    recent = latest_n_per_user(searches, [F.desc("searched_at"), F.desc("search_id")], 3)
+    line = F.concat(F.lit("  - "), F.coalesce("message", F.lit("")), F.lit(" ("), F.coalesce(F.date_format("searched_at", "yyyy-MM-dd"), F.lit("")), F.lit(")"))
+    packed = lambda rows, value, name: rows.groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", value.alias("v")))), lambda r: r["v"]).alias(name)
+    )
+    for part in (wide, packed(cities, F.col("signal_value"), "_cities"), packed(recent, line, "_recent")):
+        users = users.join(part, "user_id", "left")
+    listed = lambda head, key: F.concat(F.lit(head), F.array_join(F.from_json(key, "array<string>"), ", "))
+    lines = F.array(
+        F.lit(rules.CONTEXT_HEAD), F.concat(F.lit(rules.CONTEXT_BUDGET), F.col("default_max_price")),
+        listed(rules.CONTEXT_CITIES, "preferred_cities"), listed(rules.CONTEXT_CATEGORIES, "preferred_categories"),
+        F.concat(F.lit(rules.CONTEXT_SEARCHED_CITIES), F.array_join("_cities", ", ")),
+        F.concat(F.lit(rules.CONTEXT_SEARCHES + "\n"), F.array_join("_recent", "\n")), F.lit(rules.CONTEXT_END),
+    )
+    return users.select("user_id", F.array_join(F.array_compact(lines), "\n").alias("context"))
+
+
 def recall_previous(results: DataFrame, messages: DataFrame, shown: int = 5) -> DataFrame:
     """Per session the counts of the previous result list and its first five names.
 

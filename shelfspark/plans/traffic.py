@@ -78,15 +78,14 @@ def intent_breakdown(searches: DataFrame, as_of=None) -> DataFrame:
     )
 
 
+def top_counts(rows: DataFrame, by: list[str], n: int, name: str = "n", *more: Column) -> DataFrame:
+    """The ``n`` most frequent groups with their counts, ties in the order of ``by`` (NULL first); ``more`` are further aggregates."""
+    counted = rows.groupBy(*by).agg(F.count("*").alias(name), *more)
+    return counted.orderBy(F.desc(name), *[F.asc_nulls_first(c) for c in by]).limit(n)
+
+
 def zero_result_queries(searches: DataFrame, as_of=None, n: int = 20) -> DataFrame:
-    return (
-        within(searches, "searched_at", "7 DAYS", as_of)
-        .where("result_count = 0")
-        .groupBy("message", "intent")
-        .agg(F.count("*").alias("times"))
-        .orderBy(F.desc("times"), "message", "intent")
-        .limit(n)
-    )
+    return top_counts(within(searches, "searched_at", "7 DAYS", as_of).where("result_count = 0"), ["message", "intent"], n, "times")
 
 
 def returning_users(searches: DataFrame, as_of=None) -> DataFrame:
@@ -123,26 +122,14 @@ def category_pull(searches: DataFrame, stores: DataFrame, as_of=None) -> DataFra
 
 
 def city_demand(searches: DataFrame, as_of=None, n: int = 15) -> DataFrame:
-    return (
-        within(searches, "searched_at", "7 DAYS", as_of)
-        .where("city_used IS NOT NULL")
-        .groupBy("city_used")
-        .agg(F.count("*").alias("searches"), F.count_distinct("user_id").alias("users"))
-        .orderBy(F.desc("searches"), "city_used")
-        .limit(n)
-    )
+    known = within(searches, "searched_at", "7 DAYS", as_of).where("city_used IS NOT NULL")
+    return top_counts(known, ["city_used"], n, "searches", F.count_distinct("user_id").alias("users"))
 
 
 def zero_result_pairs(searches: DataFrame, stores: DataFrame, as_of=None, n: int = 20) -> DataFrame:
     """(category, city) pairs of searches without results, most frequent first."""
     seen = searches_to_stores(within(searches, "searched_at", "7 DAYS", as_of).where("result_count = 0"), stores)
-    return (
-        seen.where("city_used IS NOT NULL")
-        .groupBy("store_category", "city_used")
-        .agg(F.count("*").alias("times"))
-        .orderBy(F.desc("times"), "store_category", "city_used")
-        .limit(n)
-    )
+    return top_counts(seen.where("city_used IS NOT NULL"), ["store_category", "city_used"], n, "times")
 
 
 def share_of_total(counts: DataFrame, count: str = "turns", name: str = "pct", digits: int = 2) -> DataFrame:
@@ -257,7 +244,9 @@ def run_totals(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def traffic_report(searches: DataFrame, users: DataFrame, stores: DataFrame, traces: DataFrame, as_of=None) -> dict:
+def traffic_report(
+    searches: DataFrame, users: DataFrame, stores: DataFrame, traces: DataFrame, as_of=None, clarify_intent: str = "clarify"
+) -> dict:
     """All report tables by name."""
     return {
         "searches_recent": searches_recent(searches, as_of),
@@ -275,5 +264,5 @@ def traffic_report(searches: DataFrame, users: DataFrame, stores: DataFrame, tra
         "latency_percentiles": latency_percentiles(traces, as_of=as_of),
         "latency_by_intent": latency_percentiles(traces, ["intent"], as_of),
         "sessions_with_results": sessions_with_results(traces, as_of),
-        "decision_signals": decision_signals(searches, users, as_of),
+        "decision_signals": decision_signals(searches, users, as_of, clarify_intent),
     }
