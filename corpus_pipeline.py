@@ -22,7 +22,7 @@ LEAST_SCORE = 0.5
 #: Share of a document's words that benchmark items must cover for it to go.
 MOST_HIT = 0.0
 
-# Held against brute force in tests/llm: SQL can express neither the classifier nor the fingerprints.
+# SQL can express neither the classifier nor the fingerprints: tests/llm/test_llm_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 

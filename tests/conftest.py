@@ -10,13 +10,14 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from shelfspark.session import build_session
 
     session = build_session(
         "shelfspark-tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-           "spark.driver.memory": "6g"},
+           "spark.driver.memory": "6g",
+           "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
