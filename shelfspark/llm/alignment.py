@@ -15,13 +15,15 @@ worker remembers the short ones.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import math
 import re
 import sys
 import types
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from shelfspark.llm.perfect_hash import PerfectHash, VerifiedIndex
 from shelfspark.session import cut_lineage
 
 #: Bytes of text that a block of documents holds on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct pairs of a shard, on average.
 SHARD_KEYS = 1 << 17
 #: Counted pairs that meet a shard's hash in one task, on average.
@@ -40,15 +42,12 @@ GROUP_ROWS = 1 << 20
 #: Vectors that one step of the tree adds up.
 FAN = 16
 #: Bounds of a worker's memory of units.
-MEMO_UNITS = 200_000
+MEMO_UNITS = 100_000
 MEMO_BYTES = 48
 
 SPACE_MARK = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: n_a, n_b, n_groups, groups as text, linked pairs as packed int64
-Unit = tuple[int, int, int, str, bytes]
-
 
 def byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable ones as they are, others from 256 on."""
@@ -69,26 +68,40 @@ class Encoder:
             self._pieces(path)
         else:
             self._byte_level(path)
+        self.width = np.array([len(x) for x in self.spell], dtype=np.int64)
+        self.before_comma, self.before_bar, self.before_semicolon = (
+            np.array([f"{i}{mark}" for i in range(len(self.spell))], dtype=object) for mark in ",|;"
+        )
 
     def _byte_level(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        pre = spec.get("pre_tokenizer") or {}
-        if pre.get("type") != "ByteLevel":
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if pre.get("type") != "ByteLevel" or model.get("type") != "BPE":
             raise ValueError(f"{path} is not a byte-level vocabulary")
         self.by_unit = pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        library.encode_special_tokens = True
-        letters = byte_letters()
-        vocabulary = library.get_vocab()
-        self.spell = [b""] * (max(vocabulary.values()) + 1)
-        for token, number in vocabulary.items():
-            self.spell[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.encode = lambda units: [x.ids for x in library.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        letters, vocabulary = byte_letters(), model["vocab"]
+        ranks = {bytes(letters[c] for c in token): number for token, number in vocabulary.items()}
+        self.spell = [b""] * (max(ranks.values()) + 1)
+        for token, number in ranks.items():
+            self.spell[number] = token
+        merged = [vocabulary["".join(x if isinstance(x, list) else x.split(" "))] for x in model["merges"]]
+        if self.by_unit and merged == sorted(set(merged)) and all(bytes([b]) in ranks for b in range(256)):
+            # Merges rank as the ids do, so the faster library for ranks gives the same encodings.
+            import public_tokenizers
+            import tiktoken
+
+            ranked = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            encode = ranked._core_bpe.encode_ordinary  # units are whole UTF-8 texts, which the outer method would check
+            self.encode = lambda units: [encode(" " + u) for u in units]
+        else:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            library.no_truncation()
+            library.no_padding()
+            library.encode_special_tokens = True
+            self.encode = lambda units: [x.ids for x in library.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
 
     def _pieces(self, path: str) -> None:
         import sentencepiece
@@ -110,64 +123,123 @@ class Encoder:
         self.encode = lambda units: library.encode(units, num_threads=1)
 
 
-def link(ids_a: list[int], ids_b: list[int], spell_a: list[bytes], spell_b: list[bytes], text: bytes) -> Unit | None:
-    """Groups and links of two encodings of ``text``; None where an encoding does not spell it."""
-    parts_a, parts_b = [spell_a[i] for i in ids_a], [spell_b[i] for i in ids_b]
-    if b"".join(parts_a) != text or b"".join(parts_b) != text:
-        return None
-    pairs, groups, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-    end_a, end_b = len(parts_a[0]), len(parts_b[0])
-    while True:
-        pairs.append(ids_a[i] << 32 | ids_b[j])
-        if end_a < end_b:
-            i += 1
-            end_a += len(parts_a[i])
-        elif end_b < end_a:
-            j += 1
-            end_b += len(parts_b[j])
-        else:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, ids_a[from_i:i])) + "|" + ",".join(map(str, ids_b[from_j:j])))
-            if i == len(parts_a) or j == len(parts_b):
-                break
-            from_i, from_j = i, j
-            end_a, end_b = end_a + len(parts_a[i]), end_b + len(parts_b[j])
-    return len(ids_a), len(ids_b), len(groups), ";".join(groups), np.array(pairs, dtype=np.int64).tobytes()
+class Numbering(dict):
+    """Numbers keys in the order in which they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class Links:
+    """The distinct units of a block, aligned: one flat array per side, and where both sides end."""
+
+    def __init__(self, units: list[str], ids_a: list[list[int]], ids_b: list[list[int]], a: Encoder, b: Encoder):
+        flat = lambda ids: np.fromiter(chain.from_iterable(ids), np.int64)
+        self.n_a, self.n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        self.a, self.b = flat(ids_a), flat(ids_b)
+        # Both sides cover the same bytes, so the place of a byte in the block tells all.
+        ends_a, ends_b = np.cumsum(a.width[self.a]), np.cumsum(b.width[self.b])
+        both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        first = np.r_[True, both[1:] != both[:-1]][: len(both)]
+        ends, shared = both[first], both[~first]  # a link for each stretch of bytes between two ends
+        self.link_a, self.link_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        self.group_a, self.group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        unit_a = np.repeat(np.arange(len(units)), self.n_a)
+        self.owner = unit_a[self.link_a]
+        self.pairs = self.a[self.link_a] << 32 | self.b[self.link_b]
+        self.n_links = np.bincount(self.owner, minlength=len(units))
+        self.n_groups = np.bincount(unit_a[np.searchsorted(ends_a, shared)], minlength=len(units))
+
+    def shown(self, a: Encoder, b: Encoder) -> list[str]:
+        """The groups of each unit as text, each followed by a semicolon."""
+        last_a, last_b = np.r_[self.group_a[1:] != self.group_a[:-1], True], np.r_[self.group_b[1:] != self.group_b[:-1], True]
+        pieces = np.concatenate([np.where(last_a, a.before_bar[self.a], a.before_comma[self.a]), np.where(last_b, b.before_semicolon[self.b], b.before_comma[self.b])])
+        order = np.argsort(np.concatenate([self.group_a, self.group_b]), kind="stable")
+        pieces, cuts = pieces[order].tolist(), np.r_[0, np.cumsum(self.n_a + self.n_b)].tolist()
+        return ["".join(pieces[low:high]) for low, high in zip(cuts, cuts[1:])]
+
+
+def _unit_ends(ids: list[list[int]], width: np.ndarray) -> np.ndarray:
+    """Where each unit ends among the bytes of all."""
+    held = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+    return np.r_[0, np.cumsum(width[np.fromiter(chain.from_iterable(ids), np.int64)])][held]
+
+
+@contextlib.contextmanager
+def _no_collections():
+    """Without the cycle collector, which would walk the many small lists of a block again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 class Aligner:
-    """Units of texts with what their alignment gives; short units are remembered."""
+    """Two encoders; what they make of short units is remembered."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = Encoder(path_a), Encoder(path_b)
         self.by_unit = self.a.by_unit and self.b.by_unit
-        self.memo: dict[str, Unit | None] = {}
+        self.memo: dict[str, tuple[list[int], list[int]]] = {}
 
-    def block(self, texts: list[bytes | None]) -> tuple[list[list[str] | None], dict[str, Unit]]:
-        """Units of each text (None where it has no tokens) and the alignment of each distinct unit."""
-        cut = []
+    def block(self, texts: Iterable[bytes | None]) -> tuple[list[np.ndarray | None], Links]:
+        """Numbers of the units of each text, None where it has no tokens, and the alignment of all units."""
+        with _no_collections():
+            return self._block(texts)
+
+    def _block(self, texts: Iterable[bytes | None]) -> tuple[list[np.ndarray | None], Links]:
+        numbers, cut = Numbering(), []
         for raw in texts:
             try:
                 text = raw.decode() if raw else ""
             except UnicodeDecodeError:
                 text = ""
-            cut.append((_CUT.split(text) if self.by_unit else [text]) if text else None)
-        known: dict[str, Unit | None] = dict.fromkeys(u for units in cut if units for u in units)
-        new = []
-        for unit in known:
-            if unit in self.memo:
-                known[unit] = self.memo[unit]
-            else:
-                new.append(unit)
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for unit, ids_a, ids_b in zip(some, self.a.encode(some), self.b.encode(some), strict=True):
-                known[unit] = link(ids_a, ids_b, self.a.spell, self.b.spell, b" " + unit.encode())
-                if len(self.memo) < MEMO_UNITS and len(unit) <= MEMO_BYTES:
-                    self.memo[unit] = known[unit]
-        broken = {u for u, found in known.items() if found is None}
-        whole = [None if units is None or (broken and not broken.isdisjoint(units)) else units for units in cut]
-        return whole, {u: found for u, found in known.items() if found is not None}
+            units = (_CUT.split(text) if self.by_unit else [text]) if text else None
+            cut.append(units and np.fromiter(map(numbers.__getitem__, units), np.int32, len(units)))
+        units = list(numbers)
+        ids_a, ids_b = self.encoded(units)
+        broken = self.broken(units, ids_a, ids_b)
+        if broken:
+            for i in broken:
+                ids_a[i], ids_b[i] = [], []
+            lost = np.zeros(len(units), dtype=bool)
+            lost[broken] = True
+            cut = [None if at is None or lost[at].any() else at for at in cut]
+        return cut, Links(units, ids_a, ids_b, self.a, self.b)
+
+    def encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        found = [self.memo.get(u) for u in units]
+        new = [i for i, x in enumerate(found) if x is None]
+        for low in range(0, len(new), 4096):
+            some = new[low : low + 4096]
+            fresh = [units[i] for i in some]
+            for i, u, pair in zip(some, fresh, zip(self.a.encode(fresh), self.b.encode(fresh), strict=True), strict=True):
+                found[i] = pair
+                if len(self.memo) < MEMO_UNITS and len(u) <= MEMO_BYTES:
+                    self.memo[u] = pair
+        return [x[0] for x in found], [x[1] for x in found]
+
+    def broken(self, units: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[int]:
+        """Units that an encoding does not spell byte for byte."""
+        spelled = lambda ids, spell: b"".join([spell[i] for i in ids])
+        whole = " ".join(["", *units]).encode()
+        if spelled(chain.from_iterable(ids_a), self.a.spell) == whole == spelled(chain.from_iterable(ids_b), self.b.spell):
+            # The joins agree, and so do the units, if each also ends where it should.
+            ends = np.cumsum(np.fromiter((1 + len(u.encode()) for u in units), np.int64, len(units)))
+            if all(np.array_equal(_unit_ends(x, e.width), ends) for e, x in ((self.a, ids_a), (self.b, ids_b))):
+                return []
+        return [
+            i for i, u in enumerate(units)
+            if not spelled(ids_a[i], self.a.spell) == b" " + u.encode() == spelled(ids_b[i], self.b.spell)
+        ]
+
+
+def _values(column: pa.ChunkedArray) -> Iterator[bytes | None]:
+    return (x.as_py() for x in column)
 
 
 def _kept_aligner(*paths: str) -> Aligner:
@@ -181,52 +253,39 @@ def _kept_aligner(*paths: str) -> Aligner:
     return kept[paths]
 
 
-def count_pairs(aligner: Aligner, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def count_pairs(aligner: Aligner, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct linked pairs of the texts and how many links hold each."""
-    units, found = aligner.block(texts)
-    seen = Counter()
-    for some in units:
-        if some:
-            seen.update(some)
-    if not seen:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    packed = [found[u][4] for u in seen]
-    times = np.repeat(np.fromiter(seen.values(), dtype=np.int64, count=len(seen)), [len(p) // 8 for p in packed])
-    pairs, at = np.unique(np.frombuffer(b"".join(packed), dtype=np.int64), return_inverse=True)
+    cut, links = aligner.block(texts)
+    held = [at for at in cut if at is not None]
+    times = np.bincount(np.concatenate(held), minlength=len(links.n_a)) if held else np.zeros(len(links.n_a), dtype=np.int64)
+    used = times[links.owner] > 0  # units that only texts without tokens hold count nowhere
+    pairs, at = np.unique(links.pairs[used], return_inverse=True)
     counts = np.zeros(len(pairs), dtype=np.int64)
-    np.add.at(counts, at, times)
+    np.add.at(counts, at, times[links.owner[used]])
     return pairs, counts
 
 
 def look_up(
-    aligner: Aligner, texts: list[bytes | None], pairs: np.ndarray, counts: np.ndarray, best: np.ndarray
+    aligner: Aligner, texts: Iterable[bytes | None], pairs: np.ndarray, counts: np.ndarray, best: np.ndarray
 ) -> Iterator[tuple[int, int, int, int, int, int, str]]:
     """n_a, n_b, n_groups, n_links, n_best, count_sum and groups of each text; ``pairs`` is sorted."""
-    units, found = aligner.block(texts)
-    number = {u: i for i, u in enumerate(found)}
-    packed = [x[4] for x in found.values()]
-    links = np.array([len(p) // 8 for p in packed], dtype=np.int64)
-    owner = np.repeat(np.arange(len(packed)), links)
-    mine = np.frombuffer(b"".join(packed), dtype=np.int64)
-    used = np.zeros(len(packed), dtype=bool)  # units that only broken texts hold have no counts
-    at_of = [np.array([number[u] for u in some], dtype=np.int64) if some else None for some in units]
-    for at in at_of:
-        if at is not None:
-            used[at] = True
-    mine, owner = mine[used[owner]], owner[used[owner]]
-    place = np.searchsorted(pairs, mine)
-    if len(mine) and (place.max() >= len(pairs) or (pairs[place] != mine).any()):
-        raise KeyError("a pair has no count")
-    sums, bests = np.zeros(len(packed), dtype=np.int64), np.zeros(len(packed), dtype=np.int64)
-    np.add.at(sums, owner, counts[place])
-    np.add.at(bests, owner, best[place].astype(np.int64))
-    sizes = np.array([x[:3] for x in found.values()], dtype=np.int64).reshape(-1, 3)
-    for some, at in zip(units, at_of):
-        if some is None:
+    cut, links = aligner.block(texts)
+    place = np.minimum(np.searchsorted(pairs, links.pairs), max(0, len(pairs) - 1))
+    known = pairs[place] == links.pairs if len(pairs) else np.zeros(len(links.pairs), dtype=bool)
+    per_unit = lambda values: np.bincount(links.owner[known], values[place[known]], len(links.n_a)) if known.any() else np.zeros(len(links.n_a))
+    unknown = np.zeros(len(links.n_a), dtype=bool)
+    unknown[links.owner[~known]] = True
+    sums = np.zeros(len(links.n_a), dtype=np.int64)
+    np.add.at(sums, links.owner[known], counts[place[known]] if known.any() else 0)
+    totals = np.stack([links.n_a, links.n_b, links.n_groups, links.n_links, per_unit(best).astype(np.int64), sums], axis=1)
+    shown = links.shown(aligner.a, aligner.b)
+    for at in cut:
+        if at is None:
             yield 0, 0, 0, 0, 0, 0, ""
+        elif unknown[at].any():
+            raise KeyError("a pair has no count")
         else:
-            n_a, n_b, n_groups = sizes[at].sum(axis=0).tolist()
-            yield n_a, n_b, n_groups, int(links[at].sum()), int(bests[at].sum()), int(sums[at].sum()), ";".join([found[u][3] for u in some])
+            yield *totals[at].sum(axis=0).tolist(), "".join(map(shown.__getitem__, at.tolist()))[:-1]
 
 
 def _with_group(parts: DataFrame, shards: int, groups: int) -> DataFrame:
@@ -366,14 +425,14 @@ def align(
     kinds = f"`{id_col}` {kind}, " + ", ".join(f"{n} {'string' if n == 'groups' else 'bigint'}" for n in out.names)
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
-        pairs, counts = count_pairs(_kept_aligner(tokenizer_a, tokenizer_b), table["raw"].to_pylist())
+        pairs, counts = count_pairs(_kept_aligner(tokenizer_a, tokenizer_b), _values(table["raw"]))
         return pa.table({"block": pa.array(np.full(len(pairs), key[0].as_py()), pa.int32()), "pair": pairs, "n": counts})
 
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("pair")
         pairs, counts, best = (answers[c].to_numpy() for c in ("pair", "n", "best"))
-        found = list(look_up(_kept_aligner(tokenizer_a, tokenizer_b), table["raw"].to_pylist(), pairs, counts, best))
-        columns = [pa.array([x[i] for x in found], f.type) for i, f in enumerate(out)]
+        found = look_up(_kept_aligner(tokenizer_a, tokenizer_b), _values(table["raw"]), pairs, counts, best)
+        columns = [pa.array(values, f.type) for values, f in zip(zip(*found), out)] or [pa.array([], f.type) for f in out]
         return pa.table([table["id"], *columns], names=[id_col, *out.names])
 
     parts = cut_lineage(dealt.select("block", "raw").groupBy("block").applyInArrow(first, "block int, pair bigint, n bigint"))
