@@ -10,13 +10,19 @@ Everything is DataFrame expressions; only cells are raked, never documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import logging
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.session import cut_lineage
 
+log = logging.getLogger(__name__)
+
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS = 8
+#: Raking ends when a round moves no factor by more than this share of it, or after so many rounds.
+TOLERANCE = 1e-10
+ROUNDS = 40
 #: Exponents of the shares that are the default targets: 1 keeps a dimension's mix, 0 makes it even.
 EVENNESS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 RATE = 0.5
@@ -39,34 +45,63 @@ def topic_of(text: Column) -> Column:
     return F.coalesce(topic, F.lit(OTHER))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def _goals(cells: DataFrame, name: str, given: DataFrame | None) -> DataFrame:
+    """``name, goal``: the share of the mix that each value of a dimension is to get."""
+    held = cells.groupBy(name).agg(F.sum("tokens").alias("held"))
+    if given is None:
+        asked = F.pow(F.col("held").cast("double"), EVENNESS[name])
+    else:
+        held = held.join(given.select(F.col("value").alias(name), F.col("target").cast("double").alias("asked")), name, "left")
+        asked = F.when(F.col("held") > 0, F.coalesce("asked", F.lit(0.0))).otherwise(0.0)
+    told = cut_lineage(held.select(name, asked.alias("asked")))
+    total = told.agg(F.sum("asked")).first()[0] or 0.0
+    return told.select(name, (F.col("asked") / total if total > 0 else F.lit(0.0)).alias("goal"))
+
+
+def _weighed(cells: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
+    """``cells`` with ``weight``: their tokens times one factor of each dimension.
+
+    Merge joins: a broadcast in every step would fill the driver's memory for tables that
+    are small anyway.
+    """
+    weight = F.col("tokens").cast("double")
+    for name, table in factors.items():
+        cells = cells.join(table.select(name, F.col("factor").alias(f"f_{name}")).hint("merge"), name)
+        weight = weight * F.col(f"f_{name}")
+    return cells.withColumn("weight", weight).drop(*[f"f_{name}" for name in factors])
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE
+) -> DataFrame:
     """``cells`` (``source, lang, topic, tokens``) with ``weight``, the share of the mix that a cell gets.
 
     ``targets`` gives ``value, target`` for a dimension; values without a target get none
     of the mix. By default a value's target is its share of tokens to the power in
-    ``EVENNESS``. Targets are normalised over the values that have tokens. After the last
-    round the marginals of the last dimension hold exactly and the others to the extent
-    that the rounds have settled.
+    ``EVENNESS``. Targets are normalised over the values that have tokens. A cell's weight
+    is its tokens times a factor of each of its values; factors are fitted one dimension
+    after the other until a whole round moves none by more than ``tolerance`` of itself, so
+    that all marginals hold. Where targets contradict each other it ends after ``rounds``
+    rounds, with the marginals of the last dimension exact. Every step is a table with one
+    row per value in the shared folder.
     """
-    fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for name in DIMENSIONS:
-        of_value = Window.partitionBy(name)
-        if targets and name in targets:
-            told = targets[name].select(F.col("value").alias(name), F.col("target").cast("double").alias("given"))
-            fitted = fitted.join(told, name, "left").withColumn("given", F.when(F.sum("tokens").over(of_value) > 0, F.coalesce("given", F.lit(0.0))).otherwise(0.0))
-        else:
-            fitted = fitted.withColumn("given", F.pow(F.sum("tokens").over(of_value).cast("double"), EVENNESS[name]))
-        fitted = cut_lineage(fitted)
-        total = fitted.groupBy(name).agg(F.first("given").alias("given")).agg(F.sum("given")).scalar()
-        fitted = fitted.withColumn(f"to_{name}", F.coalesce(F.try_divide(F.col("given"), total), F.lit(0.0))).drop("given")
-    fitted = cut_lineage(fitted)
+    factors = {
+        name: _goals(cells, name, (targets or {}).get(name)).select(name, "goal", F.lit(1.0).alias("factor"), F.lit(0.0).alias("moved"))
+        for name in DIMENSIONS
+    }
     for number in range(rounds):
         for name in DIMENSIONS:
-            held = F.sum("weight").over(Window.partitionBy(name))
-            fitted = fitted.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"to_{name}") / held).otherwise(0.0))
-        if number % 4 == 3:
-            fitted = cut_lineage(fitted)
-    return fitted.select(*DIMENSIONS, "tokens", "weight")
+            held = _weighed(cells, {n: f for n, f in factors.items() if n != name}).groupBy(name).agg(F.sum("weight").alias("held"))
+            new = F.when(F.col("held") > 0, F.col("goal") / F.col("held")).otherwise(0.0)
+            moved = F.when(new > 0, F.abs(F.col("factor") / new - 1)).otherwise(0.0)
+            fitted = held.join(factors[name].select(name, "goal", "factor").hint("merge"), name)
+            factors[name] = cut_lineage(fitted.select(name, "goal", new.alias("factor"), moved.alias("moved")))
+        moves = [f.agg(F.max("moved").alias("moved")) for f in factors.values()]
+        most = moves[0].unionAll(moves[1]).unionAll(moves[2]).agg(F.max("moved")).first()[0]
+        if (most or 0.0) <= tolerance:
+            log.info("raking settled in %d rounds", number + 1)
+            break
+    return _weighed(cells, factors)
 
 
 def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
@@ -74,27 +109,22 @@ def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
 
     Probabilities follow weight / tokens. They are scaled so that the expected tokens are
     ``rate`` of all; where that takes a cell above 1 it stays whole and the others are
-    scaled for the rest.
+    scaled for the rest. Each pass over the cells gives three sums; passes end when no
+    further cell stays whole.
     """
-    order = [F.desc("pull"), *DIMENSIONS]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # cells, not documents
-    pulled = raked.withColumn("pull", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    pulled = cut_lineage(pulled)
-    budget, all_weight = pulled.agg(F.sum("tokens") * rate).scalar(), pulled.agg(F.sum("weight")).scalar()
-    ranked = pulled.withColumns(
-        {
-            "scale": F.try_divide(
-                budget - F.coalesce(F.sum("tokens").over(before), F.lit(0)),
-                all_weight - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-            ),
-            "rank": F.row_number().over(Window.orderBy(*order)),
-        }
-    )
-    scale = ranked.where(F.col("scale") * F.col("pull") <= 1).agg(F.min_by("scale", "rank")).scalar()
-    return pulled.select(
-        *DIMENSIONS, "tokens", "weight",
-        F.when(F.col("pull") > 0, F.least(F.lit(1.0), F.coalesce(scale * F.col("pull"), F.lit(1.0)))).otherwise(0.0).alias("p"),
-    )
+    pull = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    pulled = cut_lineage(raked.withColumn("pull", pull))
+    scale, whole = 0.0, -1
+    while True:
+        full = F.col("pull") * scale > 1
+        tokens, spare, weight, now = pulled.agg(
+            F.sum("tokens"), F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.count_if(full)
+        ).first()
+        if now == whole or not weight:
+            break
+        scale, whole = ((tokens or 0) * rate - spare) / weight, now
+    p = F.when(F.col("pull") > 0, F.least(F.lit(1.0), F.col("pull") * scale if weight else F.lit(1.0))).otherwise(0.0)
+    return pulled.select(*DIMENSIONS, "tokens", "weight", p.alias("p"))
 
 
 def mix(
@@ -105,12 +135,14 @@ def mix(
     seed: str = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
+    topic_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``mix_topic, mix_tokens, mix_weight, mix_p, mix_kept`` behind its columns.
 
     ``mix_weight`` is the share of the mix that the document's cell gets, ``mix_p`` its
     probability, ``mix_kept`` the draw, which depends on ``seed`` and the id only: repeated
-    rows are drawn alike, rows with a null id share one draw. Null sources and languages
+    rows are drawn alike, rows with a null id share one draw. Topics are the values of
+    ``topic_col`` where one is given, else those of ``TOPICS``. Null sources and languages
     are a value of their own. Tokens are words between white space; documents without any
     weigh nothing and are not kept. Columns of ``docs`` with these names are replaced. An
     empty table gives no rows.
@@ -118,8 +150,9 @@ def mix(
     added = ("mix_topic", "mix_tokens", "mix_weight", "mix_p", "mix_kept")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     text = F.col(text_col)
+    topic = F.coalesce(F.col(topic_col).cast("string"), F.lit(NO_VALUE)) if topic_col else topic_of(text)
     keyed = docs.select(
-        *rest, topic_of(text).alias("mix_topic"),
+        *rest, topic.alias("mix_topic"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("mix_tokens"),
     )
     source, lang = (F.coalesce(F.col(c).cast("string"), F.lit(NO_VALUE)) for c in ("source", "lang"))
@@ -127,7 +160,7 @@ def mix(
     fitted = cut_lineage(calibrate(rake(cut_lineage(cells), targets, rounds), rate))
     found = fitted.select(
         F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"),
-        F.round("weight", 6).alias("mix_weight"), F.round("p", 6).alias("mix_p"),
+        F.col("weight").alias("mix_weight"), F.col("p").alias("mix_p"),
     )
     # Its own file size tells whether the table of cells is small enough to be broadcast.
     joined = keyed.join(found, (source == F.col("c_source")) & (lang == F.col("c_lang")) & (F.col("mix_topic") == F.col("c_topic")))
