@@ -19,6 +19,7 @@ within a bucket in the first pass, which only filters).
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import cut_lineage
-
 WIDTH = 50
 GRAM = 24
 PIECE_BYTES = 1 << 20
+CHUNK_BYTES = 8 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _BYTES = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: Odd factors of the substring hashes, one for each size.
@@ -218,18 +218,21 @@ def repeated_spans(
     positions, end exclusive. Texts are UTF-8 bytes; null is empty. Rows that share an id
     do not count against each other, so repeated rows have equal results; rows without an
     id neither lose anything nor take part. An empty table gives no rows; other columns
-    play no part. ``parts`` (by default the shuffle partitions) sets how many chunks and
-    buckets there are: a chunk is what one task holds at a time.
+    play no part. ``parts`` sets how many chunks and buckets there are, by default one of each
+    for ``CHUNK_BYTES`` of text: a chunk is what one task holds at a time.
+
+    All passes are one plan, in which the shuffle that deals the texts into chunks stands
+    once and is read by each pass; a lost executor costs its part of that shuffle.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_chunks, n_buckets = 2 * parts, parts
-    buckets = np.uint64(n_buckets)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    if parts is None:
+        parts = math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / CHUNK_BYTES)
+    n_chunks = n_buckets = max(1, parts)
+    buckets = np.uint64(n_buckets)
     chunked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text.alias("raw"),
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n_chunks)).cast("int").alias("chunk"),
-    ).repartition(parts, "chunk")
+    )
 
     def short(digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return ((digit >> np.uint64(32)) % buckets).astype(np.int64), (digit & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -331,7 +334,7 @@ def repeated_spans(
     alive = by_chunk.applyInArrow(first_digits, "bucket int, chunk int, keys binary, many binary").groupBy("bucket").applyInArrow(
         first_bucket, "chunk int, bucket int, keys binary"
     )
-    told = cut_lineage(
+    told = (
         by_chunk.cogroup(alive.groupBy("chunk"))
         .applyInArrow(second_digits, "bucket int, chunk int, digit binary, keys binary, least binary")
         .groupBy("bucket").applyInArrow(second_bucket, VERDICT)
@@ -341,7 +344,6 @@ def repeated_spans(
         .applyInArrow(full_depth, "bucket int, chunk int, keys binary, least binary")
         .groupBy("bucket").applyInArrow(last_bucket, VERDICT)
     )
-    last = cut_lineage(last)
     return by_chunk.cogroup(told.unionByName(last).groupBy("chunk")).applyInArrow(
         removed,
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<low:bigint,high:bigint>>",
