@@ -1,0 +1,22 @@
+"""Inputs on which queries once failed or differed at larger sizes."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from shelfspark.operators import vectors
+from test_jobs import vector_frame
+
+
+def test_large_candidate_batch_from_the_masters_own_table(spark):
+    # More candidates than are shipped, and both sides stem from one table.
+    n = vectors.BROADCAST_QUERIES + 10
+    rng = np.random.default_rng(9)
+    table = vector_frame(spark, rng.normal(size=(2 * n, 4)))
+    candidates = table.where(F.col("id") >= n).select(F.col("id").alias("candidate_id"), F.lit("x").alias("text"), "embedding")
+    masters = table.where(F.col("id") < n).select(F.col("id").alias("master_id"), F.lit("m").alias("name"), "embedding")
+    matrix = np.array([r.embedding for r in table.orderBy("id").collect()])
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    best = np.round(unit[n:] @ unit[:n].T, 9).max(axis=1)
+    got = {r.candidate_id: r.similarity for r in vectors.match_to_masters(candidates, masters).collect()}
+    assert len(got) == n
+    assert all(abs(got[n + i] - score) < 1e-8 for i, score in enumerate(best))
