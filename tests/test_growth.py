@@ -20,3 +20,12 @@ def test_large_candidate_batch_from_the_masters_own_table(spark):
     got = {r.candidate_id: r.similarity for r in vectors.match_to_masters(candidates, masters).collect()}
     assert len(got) == n
     assert all(abs(got[n + i] - score) < 1e-8 for i, score in enumerate(best))
+
+
+def test_a_vector_with_more_than_fifty_neighbours_lists_them_all(spark):
+    rng = np.random.default_rng(3)
+    matrix = np.ones((70, 6)) + 0.01 * rng.normal(size=(70, 6))
+    matrix[60:] = matrix[0]  # copies
+    got = vectors.near_duplicate_pairs(vector_frame(spark, matrix), 0.95)
+    assert got.count() == 70 * 69
+    assert got.agg(F.max("rank")).first()[0] == 69
