@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shelfspark.operators import vectors
+from shelfspark.sources import tables
 from test_jobs import vector_frame
 
 
@@ -29,3 +30,17 @@ def test_a_vector_with_more_than_fifty_neighbours_lists_them_all(spark):
     got = vectors.near_duplicate_pairs(vector_frame(spark, matrix), 0.95)
     assert got.count() == 70 * 69
     assert got.agg(F.max("rank")).first()[0] == 69
+
+
+def test_an_archive_of_many_stores_has_few_files(spark, tmp_path):
+    raw = spark.range(3000).select(
+        (F.col("id") % 1000).alias("store_id"), (F.col("id") % 3).alias("page"), F.lit("u").alias("store_url"),
+        F.concat(F.lit("b"), F.col("id")).alias("body"), F.to_timestamp(F.lit("2024-01-31 10:11:12")).alias("scraped_at"),
+    ).repartition(8)
+    path = str(tmp_path / "archive")
+    tables.archive(raw, path)
+    read = tables.read_archive(spark, path)
+    assert sorted(r.body for r in read.collect()) == sorted(f"b{i}" for i in range(3000))
+    assert {r.scraped_at for r in read.collect()} == {"20240131T101112"}
+    assert sorted(r.body for r in tables.read_archive(spark, path, "7").collect()) == ["b1007", "b2007", "b7"]
+    assert sum(1 for _ in (tmp_path / "archive").rglob("*.json.gz")) <= 3 * tables.ARCHIVE_BUCKETS
