@@ -48,8 +48,14 @@ def store_search(
 
 
 def store_search_near(queries: DataFrame, stores: DataFrame, listings: DataFrame, rows: int | None = None) -> DataFrame:
-    """Batch of located searches: ``query_id, q_lat, q_lng, radius_km``; all stores in reach, or the ``rows`` nearest."""
+    """Batch of located searches: ``query_id, q_lat, q_lng, radius_km``; all stores in reach, or the ``rows`` nearest.
+
+    Stores at one place are equally far, so of each place the ``rows`` lowest ids are all
+    that any list can show.
+    """
     counted = stores_with_counts(stores, listings)
+    if rows is not None:
+        counted = top_n(counted.where("lat IS NOT NULL AND lng IS NOT NULL"), ["lat", "lng"], [F.col("store_id")], rows).drop("rank")
     found = near_join(queries, counted).withColumn("distance_km", F.round("exact_km", 2)).drop("exact_km")
     order = [F.col("distance_km"), F.col("store_id")]
     return rank_within(found, ["query_id"], order) if rows is None else top_n(found, ["query_id"], order, rows)
