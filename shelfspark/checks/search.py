@@ -192,8 +192,9 @@ def _(t):
 SELECT query_id, listing_id, row_number() OVER (PARTITION BY query_id ORDER BY availability DESC, price DESC, product_id, store_id, listing_id) AS rank
 FROM (SELECT canonical_name AS query_id, *, row_number() OVER (PARTITION BY product_id, store_id ORDER BY listing_id) AS rn FROM v_listings_wide WHERE price < 999999) WHERE rn = 1""")
 def _(t):
-    rows = ranking.one_per_product_store(wide(t).where("price < 999999")).withColumn("query_id", F.col("canonical_name"))
-    return ss.instock_first(rows, score="price").select("query_id", "listing_id", "rank")
+    # Only what is ranked and shown is moved.
+    needed = wide(t).where("price < 999999").select("product_id", "store_id", "listing_id", "availability", "price", F.col("canonical_name").alias("query_id"))
+    return ss.instock_first(ranking.one_per_product_store(needed), score="price").select("query_id", "listing_id", "rank")
 
 
 RANKED = """
