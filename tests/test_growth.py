@@ -1,12 +1,18 @@
 """Inputs on which queries once failed or differed at larger sizes."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import vectors
-from shelfspark.sources import tables
+from shelfspark.checks import load
+from shelfspark.operators import ranking, vectors
+from shelfspark.plans import product_search, store_search
+from shelfspark.sources import tables as archives
 from test_jobs import vector_frame
 
+QUERIES = load()[0]
+
+
 
 def test_large_candidate_batch_from_the_masters_own_table(spark):
     # More candidates than are shipped, and both sides stem from one table.
@@ -38,9 +44,49 @@ def test_an_archive_of_many_stores_has_few_files(spark, tmp_path):
         F.concat(F.lit("b"), F.col("id")).alias("body"), F.to_timestamp(F.lit("2024-01-31 10:11:12")).alias("scraped_at"),
     ).repartition(8)
     path = str(tmp_path / "archive")
-    tables.archive(raw, path)
-    read = tables.read_archive(spark, path)
+    archives.archive(raw, path)
+    read = archives.read_archive(spark, path)
     assert sorted(r.body for r in read.collect()) == sorted(f"b{i}" for i in range(3000))
     assert {r.scraped_at for r in read.collect()} == {"20240131T101112"}
-    assert sorted(r.body for r in tables.read_archive(spark, path, "7").collect()) == ["b1007", "b2007", "b7"]
-    assert sum(1 for _ in (tmp_path / "archive").rglob("*.json.gz")) <= 3 * tables.ARCHIVE_BUCKETS
+    assert sorted(r.body for r in archives.read_archive(spark, path, "7").collect()) == ["b1007", "b2007", "b7"]
+    assert sum(1 for _ in (tmp_path / "archive").rglob("*.json.gz")) <= 3 * archives.ARCHIVE_BUCKETS
+
+
+def test_distinct_results_equal_the_dedup_of_all_ranks(tables):
+    asked = tables.sql("SELECT * FROM v_queries").join(tables.embeddings.select("vec_id", "embedding"), "vec_id", "left")
+    args = (asked, tables.listings, tables.products, tables.stores, tables.product_vectors)
+    shown = ["query_id", "product_id", "store_id", "rank"]
+    want = product_search.query_time_dedup(product_search.ranked_results(*args)).select(*shown)
+    got = product_search.distinct_results(product_search.filtered_results(*args), shown)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_query_parameters_do_not_shuffle_the_rows(spark):
+    queries = spark.range(50).select(F.col("id").alias("query_id"), F.lit("x").alias("city"))
+    rows = spark.range(1000).select((F.col("id") % 50).alias("query_id"), F.col("id").alias("product_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if sizes were unknown
+    try:
+        plan = product_search._with_parameters(rows, queries)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+
+
+def test_stores_at_one_place_send_no_more_than_is_shown(spark, monkeypatch):
+    seen = []
+    inner = store_search.near_join
+    monkeypatch.setattr(store_search, "near_join", lambda q, s: seen.append(s) or inner(q, s))
+    stores = spark.range(300).select(F.col("id").alias("store_id"), (30.0 + F.col("id") % 3 * 0.1).alias("lat"), F.lit(34.5).alias("lng"))
+    asked = spark.createDataFrame([("q", 30.0, 34.5, 15.0)], "query_id string, q_lat double, q_lng double, radius_km double")
+    listings = stores.select("store_id", F.col("store_id").alias("listing_id"))
+    got = store_search.store_search_near(asked, stores, listings, 4)
+    assert sorted((r["rank"], r["store_id"]) for r in got.collect()) == [(1, 0), (2, 3), (3, 6), (4, 9)]
+    assert seen[0].count() == 3 * 4
+
+
+def test_ranked_lists_move_only_what_they_show(tables, monkeypatch):
+    seen = []
+    inner = ranking.one_per_product_store
+    monkeypatch.setattr(ranking, "one_per_product_store", lambda rows: seen.append(rows.columns) or inner(rows))
+    QUERIES["t03_instock_first"](tables.spark, tables.folder)
+    assert "partner_url" not in seen[0]
