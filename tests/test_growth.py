@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.checks import load
-from shelfspark.operators import ranking, vectors
+from shelfspark.operators import ranking, upserts, vectors
 from shelfspark.plans import product_search, store_search
 from shelfspark.sources import tables as archives
 from test_jobs import vector_frame
@@ -90,3 +90,14 @@ def test_ranked_lists_move_only_what_they_show(tables, monkeypatch):
     monkeypatch.setattr(ranking, "one_per_product_store", lambda rows: seen.append(rows.columns) or inner(rows))
     QUERIES["t03_instock_first"](tables.spark, tables.folder)
     assert "partner_url" not in seen[0]
+
+
+def test_aggregates_of_rows_carry_each_value_once(spark):
+    rows = spark.createDataFrame([(1, 2, "b", None), (1, 1, "a", "x"), (2, 5, None, "y")], "k int, position int, v string, w string")
+    picked = ranking.first_per_key(rows, ["k"], ["position"])
+    fed = rows.groupBy("k").agg(upserts.last_row("v", "w").alias("r"), upserts.last_set("w"), upserts.first_value("v"))
+    for df in (picked, fed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "min_by" not in plan and "minby" not in plan and "max_by" not in plan and "maxby" not in plan
+    assert sorted(map(tuple, picked.collect())) == [(1, 1, "a", "x"), (2, 5, None, "y")]
+    assert sorted((r.k, r.r.v, r.r.w, r.w, r.v) for r in fed.collect()) == [(1, "b", None, "x", "a"), (2, None, "y", "y", None)]
