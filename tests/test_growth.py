@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.checks import load
 from shelfspark.operators import ranking, upserts, vectors
-from shelfspark.plans import product_search, store_search
+from shelfspark.plans import product_search, refresh, store_search
 from shelfspark.sources import tables as archives
 from test_jobs import vector_frame
 
@@ -101,3 +101,9 @@ def test_aggregates_of_rows_carry_each_value_once(spark):
         assert "min_by" not in plan and "minby" not in plan and "max_by" not in plan and "maxby" not in plan
     assert sorted(map(tuple, picked.collect())) == [(1, 1, "a", "x"), (2, 5, None, "y")]
     assert sorted((r.k, r.r.v, r.r.w, r.w, r.v) for r in fed.collect()) == [(1, "b", None, "x", "a"), (2, None, "y", "y", None)]
+
+
+@pytest.mark.parametrize("name", ["c12_stores", "c12_refreshed_runs"])
+def test_status_and_audit_rows_make_no_product_snapshot(tables, monkeypatch, name):
+    monkeypatch.setattr(refresh, "upsert_products", None)
+    assert QUERIES[name](tables.spark, tables.folder).count() > 0
