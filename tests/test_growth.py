@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.checks import load
 from shelfspark.operators import ranking, upserts, vectors
-from shelfspark.plans import product_search, refresh, store_search
+from shelfspark.plans import dedup, product_search, refresh, store_search
 from shelfspark.sources import tables as archives
-from test_jobs import vector_frame
+from test_jobs import vector_frame, walk
 
 QUERIES = load()[0]
 
@@ -107,3 +107,17 @@ def test_aggregates_of_rows_carry_each_value_once(spark):
 def test_status_and_audit_rows_make_no_product_snapshot(tables, monkeypatch, name):
     monkeypatch.setattr(refresh, "upsert_products", None)
     assert QUERIES[name](tables.spark, tables.folder).count() > 0
+
+
+def test_groups_move_each_vector_to_few_blocks(spark, monkeypatch):
+    # One cell of 8 blocks: half of the blocks meet, and what the ids settle is not compared with the leaders.
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 50)
+    moved = []
+    inner = vectors._blocks
+    monkeypatch.setattr(vectors, "_blocks", lambda *args: moved.append(inner(*args)) or moved[-1])
+    rng = np.random.default_rng(11)
+    matrix = rng.normal(size=(400, 24))
+    matrix[200:260] = matrix[:60] + 0.05 * matrix[100:160]
+    got = dedup.duplicate_groups(vector_frame(spark, matrix), 0.95)
+    assert sorted(map(tuple, got.collect())) == walk(matrix, list(range(400)), 0.95) != []
+    assert sum(b.count() for b in moved) <= 400 * 11
