@@ -121,3 +121,22 @@ def test_groups_move_each_vector_to_few_blocks(spark, monkeypatch):
     got = dedup.duplicate_groups(vector_frame(spark, matrix), 0.95)
     assert sorted(map(tuple, got.collect())) == walk(matrix, list(range(400)), 0.95) != []
     assert sum(b.count() for b in moved) <= 400 * 11
+
+
+def test_capped_keyword_search_ranks_few_products_of_a_common_text(spark, monkeypatch):
+    ranked = []
+    inner = product_search.top_n
+    monkeypatch.setattr(product_search, "top_n", lambda df, keys, *rest: ((ranked.append(df) if keys == ["query_id"] else None), inner(df, keys, *rest))[1])
+    products = spark.range(3000).select(
+        F.col("id").alias("product_id"), F.when(F.col("id") % 3 < 2, "red ring").otherwise("blue box").alias("canonical_name"),
+        F.when(F.col("id") % 2 == 0, "acme").alias("brand"),
+    )
+    products = products.unionByName(spark.createDataFrame([(3000, "odd cup", "zed"), (3001, None, "odd")], "product_id bigint, canonical_name string, brand string"))
+    listings = products.select("product_id").where("product_id % 5 <> 0")
+    queries = spark.createDataFrame([("q1", "red"), ("q2", "odd"), ("q3", "blue acme")], "query_id string, search_text string")
+    whole = product_search.keyword_products(queries, listings, products).collect()
+    got = product_search.keyword_products(queries, listings, products, 50).collect()
+    want = [r for q in ("q1", "q2", "q3") for r in sorted((r for r in whole if r.query_id == q), key=lambda r: r.product_id)[:50]]
+    assert sorted((r.query_id, r.product_id, r.similarity) for r in got) == sorted((r.query_id, r.product_id, r.similarity) for r in want)
+    assert {q: sum(r.query_id == q for r in got) for q in ("q1", "q2", "q3")} == {"q1": 50, "q2": 1, "q3": 50}
+    assert max(df.count() for df in ranked) < 300
