@@ -4,9 +4,9 @@ Two tokenizers cut the same bytes. Where tokens of both end at one place, a grou
 tokens of a group whose bytes overlap are linked. First pass: blocks of documents are
 aligned and give their distinct (A id, B id) pairs with counts. The distinct pairs of the
 corpus are dealt into shards, each with a minimal perfect hash; counts become dense vectors
-indexed by it, which are summed in a tree. Second pass: blocks are aligned again and look up
-the corpus-wide counts of their pairs; each lookup is verified against the key stored at its
-place.
+indexed by it, which are summed in a tree. Second pass: blocks, whose token ids the first pass
+has written, are linked again and look up the corpus-wide counts of their pairs; each lookup
+is verified against the key stored at its place.
 
 Text is cut into units at single blanks between other characters. Both tokenizers start a
 token at such a blank (their files are checked for it), so units are encoded alone and a
@@ -22,6 +22,7 @@ import math
 import re
 import sys
 import types
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -131,13 +132,21 @@ class Numbering(dict):
         return number
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as planes of bytes, of which the upper ones are mostly zero, compressed."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 class Links:
     """The distinct units of a block, aligned: one flat array per side, and where both sides end."""
 
-    def __init__(self, units: list[str], ids_a: list[list[int]], ids_b: list[list[int]], a: Encoder, b: Encoder):
-        flat = lambda ids: np.fromiter(chain.from_iterable(ids), np.int64)
-        self.n_a, self.n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
-        self.a, self.b = flat(ids_a), flat(ids_b)
+    def __init__(self, n_a: np.ndarray, ids_a: np.ndarray, n_b: np.ndarray, ids_b: np.ndarray, a: Encoder, b: Encoder):
+        self.n_a, self.n_b, self.a, self.b = (x.astype(np.int64) for x in (n_a, n_b, ids_a, ids_b))
         # Both sides cover the same bytes, so the place of a byte in the block tells all.
         ends_a, ends_b = np.cumsum(a.width[self.a]), np.cumsum(b.width[self.b])
         both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
@@ -145,11 +154,24 @@ class Links:
         ends, shared = both[first], both[~first]  # a link for each stretch of bytes between two ends
         self.link_a, self.link_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         self.group_a, self.group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-        unit_a = np.repeat(np.arange(len(units)), self.n_a)
+        unit_a = np.repeat(np.arange(len(n_a)), self.n_a)
         self.owner = unit_a[self.link_a]
         self.pairs = self.a[self.link_a] << 32 | self.b[self.link_b]
-        self.n_links = np.bincount(self.owner, minlength=len(units))
-        self.n_groups = np.bincount(unit_a[np.searchsorted(ends_a, shared)], minlength=len(units))
+        self.n_links = np.bincount(self.owner, minlength=len(n_a))
+        self.n_groups = np.bincount(unit_a[np.searchsorted(ends_a, shared)], minlength=len(n_a))
+
+    @classmethod
+    def of(cls, ids_a: list[list[int]], ids_b: list[list[int]], a: Encoder, b: Encoder) -> Links:
+        flat = lambda ids: (np.fromiter(map(len, ids), np.int32, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32))
+        return cls(*flat(ids_a), *flat(ids_b), a, b)
+
+    def pack(self) -> list[bytes]:
+        """What ``unpack`` needs to align the units again without their texts."""
+        return [_packed(x) for x in (self.n_a, self.a, self.n_b, self.b)]
+
+    @classmethod
+    def unpack(cls, packed: list[bytes], a: Encoder, b: Encoder) -> Links:
+        return cls(*map(_unpacked, packed), a, b)
 
     def shown(self, a: Encoder, b: Encoder) -> list[str]:
         """The groups of each unit as text, each followed by a semicolon."""
@@ -209,7 +231,7 @@ class Aligner:
             lost = np.zeros(len(units), dtype=bool)
             lost[broken] = True
             cut = [None if at is None or lost[at].any() else at for at in cut]
-        return cut, Links(units, ids_a, ids_b, self.a, self.b)
+        return cut, Links.of(ids_a, ids_b, self.a, self.b)
 
     def encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         found = [self.memo.get(u) for u in units]
@@ -238,6 +260,10 @@ class Aligner:
         ]
 
 
+#: Kinds of rows of the first pass.
+_PAIR, _UNITS, _TEXT = range(3)
+
+
 def _values(column: pa.ChunkedArray) -> Iterator[bytes | None]:
     return (x.as_py() for x in column)
 
@@ -253,9 +279,8 @@ def _kept_aligner(*paths: str) -> Aligner:
     return kept[paths]
 
 
-def count_pairs(aligner: Aligner, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def count_pairs(cut: list[np.ndarray | None], links: Links) -> tuple[np.ndarray, np.ndarray]:
     """Distinct linked pairs of the texts and how many links hold each."""
-    cut, links = aligner.block(texts)
     held = [at for at in cut if at is not None]
     times = np.bincount(np.concatenate(held), minlength=len(links.n_a)) if held else np.zeros(len(links.n_a), dtype=np.int64)
     used = times[links.owner] > 0  # units that only texts without tokens hold count nowhere
@@ -266,10 +291,9 @@ def count_pairs(aligner: Aligner, texts: Iterable[bytes | None]) -> tuple[np.nda
 
 
 def look_up(
-    aligner: Aligner, texts: Iterable[bytes | None], pairs: np.ndarray, counts: np.ndarray, best: np.ndarray
+    aligner: Aligner, cut: list[np.ndarray | None], links: Links, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray
 ) -> Iterator[tuple[int, int, int, int, int, int, str]]:
     """n_a, n_b, n_groups, n_links, n_best, count_sum and groups of each text; ``pairs`` is sorted."""
-    cut, links = aligner.block(texts)
     place = np.minimum(np.searchsorted(pairs, links.pairs), max(0, len(pairs) - 1))
     known = pairs[place] == links.pairs if len(pairs) else np.zeros(len(links.pairs), dtype=bool)
     per_unit = lambda values: np.bincount(links.owner[known], values[place[known]], len(links.n_a)) if known.any() else np.zeros(len(links.n_a))
@@ -424,21 +448,43 @@ def align(
     out = pa.schema({n: pa.int64() for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")} | {"groups": pa.string()})
     kinds = f"`{id_col}` {kind}, " + ", ".join(f"{n} {'string' if n == 'groups' else 'bigint'}" for n in out.names)
 
+    # A row of the first pass is a pair of a block, the units of a block (token ids) or a text (units by number; null: no tokens).
+    spark_kinds = f"kind int, block int, pair bigint, n bigint, id {kind}, at binary, units array<binary>"
+
     def first(key: tuple, table: pa.Table) -> pa.Table:
-        pairs, counts = count_pairs(_kept_aligner(tokenizer_a, tokenizer_b), _values(table["raw"]))
-        return pa.table({"block": pa.array(np.full(len(pairs), key[0].as_py()), pa.int32()), "pair": pairs, "n": counts})
+        cut, links = _kept_aligner(tokenizer_a, tokenizer_b).block(_values(table["raw"]))
+        pairs, counts = count_pairs(cut, links)
+        ids = table["id"].combine_chunks()
+        sizes = {_PAIR: len(pairs), _UNITS: 1, _TEXT: len(cut)}
+        parts = {
+            "pair": (_PAIR, pa.int64(), pairs), "n": (_PAIR, pa.int64(), counts), "units": (_UNITS, pa.list_(pa.binary()), [links.pack()]),
+            "id": (_TEXT, ids.type, ids), "at": (_TEXT, pa.binary(), [None if at is None else _packed(at) for at in cut]),
+        }
+        held = lambda of, type_, values: pa.chunked_array(
+            [pa.array(values, type_) if of == some and not isinstance(values, pa.Array) else values if of == some else pa.nulls(n, type_) for some, n in sizes.items()], type_
+        )
+        columns = {"kind": np.repeat(list(sizes), list(sizes.values())), "block": np.full(sum(sizes.values()), key[0].as_py())}
+        out_columns = {n: pa.array(x, pa.int32()) for n, x in columns.items()} | {n: held(*x) for n, x in parts.items()}
+        return pa.table({n: out_columns[n] for n in ("kind", "block", "pair", "n", "id", "at", "units")})
 
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:
+        aligner = _kept_aligner(tokenizer_a, tokenizer_b)
+        is_text = np.asarray(table["kind"]) == _TEXT
+        texts, units = table.filter(pa.array(is_text)), table.filter(pa.array(~is_text))
+        links = Links.unpack(units["units"][0].as_py(), aligner.a, aligner.b)
+        cut = [None if x is None else _unpacked(x) for x in _values(texts["at"])]
         answers = answers.sort_by("pair")
         pairs, counts, best = (answers[c].to_numpy() for c in ("pair", "n", "best"))
-        found = look_up(_kept_aligner(tokenizer_a, tokenizer_b), _values(table["raw"]), pairs, counts, best)
+        found = look_up(aligner, cut, links, pairs, counts, best)
         columns = [pa.array(values, f.type) for values, f in zip(zip(*found), out)] or [pa.array([], f.type) for f in out]
-        return pa.table([table["id"], *columns], names=[id_col, *out.names])
+        return pa.table([texts["id"], *columns], names=[id_col, *out.names])
 
-    parts = cut_lineage(dealt.select("block", "raw").groupBy("block").applyInArrow(first, "block int, pair bigint, n bigint"))
+    passed = cut_lineage(dealt.select("block", "id", "raw").groupBy("block").applyInArrow(first, spark_kinds))
+    parts = passed.where(F.col("kind") == _PAIR).select("block", "pair", "n")
     index, shards, groups = pair_counts(parts, shard_keys, group_rows, fan)
     answers = _answers(parts, index, shards, groups)
-    aligned = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(second, kinds)
+    encoded = passed.where(F.col("kind") != _PAIR).select("kind", "block", "id", "at", "units")
+    aligned = encoded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(second, kinds)
     bare = rows.where(~has_text).select(
         F.col("id").alias(id_col), *[F.lit(0).cast("bigint").alias(n) for n in out.names[:-1]], F.lit("").alias("groups")
     )

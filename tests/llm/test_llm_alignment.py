@@ -128,3 +128,14 @@ def test_perfect_hash(size):
             index.index(keys + 1)
         with pytest.raises(ValueError):
             PerfectHash.of(np.repeat(keys, 2))
+
+
+def test_texts_are_encoded_in_one_pass_only(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "Plain words, twice."), (2, "twice"), (None, "twice"), (3, None)], "doc_id bigint, text string")
+    found = align(docs, *(public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "raw" not in "".join(line for line in plan.splitlines() if "xxhash64" in line)  # the second pass deals no texts
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == 4 and got[3].groups == "" and got[2][1:] == got[None][1:] and got[2].n_links > 0
