@@ -110,10 +110,11 @@ def fit_ftrl(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]], epoch
         return -shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
     order = np.random.default_rng(seed)
-    ready = [(y, np.append(where, BUCKETS), np.append(model.features(where, counts), 1.0)) for y, where, counts in rows]
     for _ in range(epochs):
-        for k in order.permutation(len(ready)):
-            y, at, x = ready[k]
+        for k in order.permutation(len(rows)):
+            # Made anew in each epoch: many small arrays that are held leave the driver's memory in pieces.
+            y, where, counts = rows[k]
+            at, x = np.append(where, BUCKETS), np.append(model.features(where, counts), 1.0)
             w = weights(at)
             p = softmax(x @ w)
             p[y] -= 1
@@ -216,9 +217,12 @@ def fit(learn: DataFrame, sample_rows: int = SAMPLE_ROWS, max_langs: int = MAX_L
 
     drawn = chosen.mapInArrow(run, "lang string, buckets array<int>, counts array<int>").limit(sample_rows * 2).toArrow()
     number = {x: i for i, x in enumerate(langs)}
+    buckets, counted = (drawn.column(c).combine_chunks() for c in ("buckets", "counts"))
+    ends = buckets.offsets.to_numpy()  # of both: a count stands beside each bucket
+    buckets, counted = buckets.values.to_numpy(), counted.values.to_numpy()
     rows = [
-        (number[lang], np.array(b.values), np.array(c.values))
-        for lang, b, c in zip(drawn.column("lang").to_pylist(), drawn.column("buckets"), drawn.column("counts"), strict=True)
+        (number[lang], buckets[low:high], counted[low:high])
+        for lang, low, high in zip(drawn.column("lang").to_pylist(), ends, ends[1:], strict=False)
     ]
     rows.sort(key=lambda r: (r[0], len(r[1]), int(r[1].sum()), int(r[2].sum())))  # tasks end in any order
     fit_ftrl(empty, [r for i, r in enumerate(rows) if i % 8] or rows)
