@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowing.
 
-Words of both sides are hashed, k-grams of word hashes are hashed again, and of every
-window of consecutive k-grams the least hash is kept. Any ``window`` consecutive words
-that a document shares with an item hold one whole window of k-grams, so both keep the
-same fingerprint there. Fingerprints are joined, and each hit is extended word by word;
-it counts where the shared span is ``window`` words long or the whole item.
+Words of both sides are hashed and k-grams of word hashes are hashed again; of every window
+of consecutive k-grams of an item the least hash is kept. Any ``window`` consecutive words
+that a document shares with an item hold one whole window of k-grams, so one of the
+document's k-grams there is kept. A table of bits tells most other k-grams apart, the rest
+is joined, and each hit is extended word by word; it counts where the shared span is
+``window`` words long or the whole item.
 
 Everything is DataFrame expressions. Word positions count from 0.
 """
@@ -18,14 +19,16 @@ from shelfspark.session import cut_lineage
 
 WINDOW = 10
 GRAM = 5
-# Fixed value: what separates words, after A-Z are lower-cased.
+# What separates words, after A-Z are lower-cased, and a word of a text as it is.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bits (as a power of two) of the table that tells which hashes cannot be an item's fingerprint.
+TABLE = 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def word_count(text: Column) -> Column:
-    words = F.split(F.coalesce(text, F.lit("")), NO_WORD, -1)
-    return (F.size(words) - F.size(F.filter(words, lambda w: w == ""))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def word_hashes(text: Column) -> Column:
@@ -47,14 +50,32 @@ def _lows(grams: Column, span: int) -> Column:
     return F.slice(least, 1, F.greatest(F.size(grams) - (span - 1), F.lit(0)))
 
 
-def fingerprints(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """``rows`` (with ``words``) exploded to a row per kept k-gram: ``at, print, near``.
+def _exploded(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """``rows`` (with ``words``, ``grams`` and the k-grams ``kept``, as ``at, print``) exploded to a row per kept k-gram.
 
-    ``at`` is the k-gram's word position. ``near`` holds the words from ``window - gram``
-    before it to as many behind it, null beyond the text's ends.
+    ``at`` is the k-gram's word position, ``print`` its hash. ``near`` holds the words from
+    ``window - gram`` before it to as many behind it, null beyond the text's ends.
     """
-    span, side = window - gram + 1, window - gram
-    keep = [c for c in rows.columns if c != "words"]
+    side = window - gram
+    keep = [c for c in rows.columns if c not in ("words", "grams", "lows", "kept")]
+    marked = rows.withColumn(
+        "kept",
+        F.transform(
+            "kept",
+            lambda s: F.struct(
+                s["at"].alias("at"), s["print"].alias("print"),
+                F.slice(F.col("words"), F.greatest(s["at"] - side, F.lit(0)) + 1, F.lit(window + side)).alias("near"),
+                F.least(s["at"], F.lit(side)).alias("before"), F.size("words").alias("n"),
+            ),
+        ),
+    )
+    # An inner explode would let a filter on its array sink below, with all its expressions.
+    return marked.select(*keep, F.explode_outer("kept").alias("k")).where("k IS NOT NULL").select(*keep, "k.*")
+
+
+def fingerprints(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """``rows`` (with ``words``) exploded to a row per k-gram that is the least of a window (see ``_exploded``)."""
+    span = window - gram + 1
     low = rows.withColumn("grams", _grams(F.col("words"), gram)).withColumn("lows", _lows(F.col("grams"), span))
     lows = F.col("lows")
     # A k-gram is kept if it is the least of a window; windows that hold it start up to span - 1 before.
@@ -68,19 +89,33 @@ def fingerprints(rows: DataFrame, window: int, gram: int) -> DataFrame:
         ),
         lambda s: s["kept"],
     )
-    marked = low.withColumn("kept", kept).withColumn(
-        "kept",
-        F.transform(
-            "kept",
-            lambda s: F.struct(
-                s["at"].alias("at"), s["print"].alias("print"),
-                F.slice(F.col("words"), F.greatest(s["at"] - side, F.lit(0)) + 1, F.lit(window + side)).alias("near"),
-                F.least(s["at"], F.lit(side)).alias("before"), F.size("words").alias("n"),
-            ),
-        ),
-    )
-    # An inner explode would let a filter on its array sink below, with all its expressions.
-    return marked.select(*keep, F.explode_outer("kept").alias("k")).where("k IS NOT NULL").select(*keep, "k.*")
+    return _exploded(low.withColumn("kept", kept), window, gram)
+
+
+def _table(prints: DataFrame, power: int) -> Column:
+    """An array of 2^``power`` bits, in longs: a bit is 1 if it has the number of the last bits of any print."""
+    word = F.shiftright(F.col("print").bitwiseAND((1 << power) - 1), 6)
+    ones = prints.select(word.alias("at"), F.expr("shiftleft(1L, cast(print & 63 AS int))").alias("ones"))
+    held = ones.groupBy("at").agg(F.bit_or("ones").alias("ones"))
+    numbered = prints.sparkSession.range(1 << (power - 6)).withColumnRenamed("id", "at").join(held, "at", "left")
+    longs = F.array_sort(F.collect_list(F.struct("at", F.coalesce("ones", F.lit(0).cast("bigint")).alias("ones"))))
+    return numbered.agg(longs.alias("longs")).select(F.col("longs.ones")).scalar()
+
+
+def looked_up(rows: DataFrame, prints: DataFrame, window: int, gram: int, power: int = TABLE) -> DataFrame:
+    """``rows`` (with ``words``) exploded to a row per k-gram that may be among ``prints`` (see ``_exploded``).
+
+    A table of bits of fixed size leaves out nearly all others; the join decides. With more
+    prints than bits it leaves out less, never a k-gram that is among them.
+    """
+
+    def may_be(g: Column) -> Column:
+        longs = F.get("table", F.shiftright(g.bitwiseAND((1 << power) - 1), 6).cast("int"))
+        return F.call_function("getbit", longs, g.bitwiseAND(63).cast("int")) == 1
+
+    kept = F.array_compact(F.transform("grams", lambda g, i: F.when(may_be(g), F.struct(i.alias("at"), g.alias("print")))))
+    marked = rows.withColumn("grams", _grams(F.col("words"), gram)).withColumn("table", _table(prints, power)).withColumn("kept", kept)
+    return _exploded(marked.drop("table"), window, gram)
 
 
 def _short_hits(texts: DataFrame, shorts: DataFrame) -> DataFrame:
@@ -131,7 +166,8 @@ def benchmark_hits(texts: DataFrame, items: DataFrame, window: int = WINDOW, gra
     # The same words around the same fingerprint tell an item once.
     there = long_items.select("item_id", "print", F.col("near").alias("i_near"), F.col("before").alias("i_before")).distinct()
     words = texts.select("doc_id", "text_hash", word_hashes(F.col("text")).alias("words"))
-    here = fingerprints(words, window, gram)
+    # All k-grams of a text meet the items' kept ones: any shared window holds one of these, so texts need not be winnowed.
+    here = looked_up(words, there.select("print"), window, gram)
     met = here.join(there, "print")
 
     def along(sign: int, offset: int) -> Column:

@@ -61,16 +61,19 @@ def majority(portions: Iterable[np.ndarray], longs: int) -> np.ndarray:
     numbers mixed from them.
     """
     counts, total = np.zeros((longs, 64), np.int64), 0
+    steps = np.arange(1, longs, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
     for hashes in portions:
         total += len(hashes)
-        for j in range(longs):
-            mixed = hashes
-            if j:
-                mixed = (hashes ^ np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
-                mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
-                mixed ^= mixed >> np.uint64(29)
-            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[j] += bits.sum(0, dtype=np.int64)
+        if not len(hashes):
+            continue
+        mixed = (hashes ^ steps) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        mixed ^= mixed >> np.uint64(29)
+        every = np.concatenate([hashes[None], mixed])
+        # A byte per bit, eight in a long: sums of 255 rows stay within their bytes.
+        bits = np.unpackbits(every.view(np.uint8).reshape(-1), bitorder="little").view(np.uint64).reshape(longs, -1, 8)
+        sums = np.add.reduceat(bits, np.arange(0, len(hashes), 255), axis=1)
+        counts += sums.view(np.uint8).sum(1, dtype=np.int64)
     return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
