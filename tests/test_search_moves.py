@@ -26,3 +26,11 @@ def test_totals_write_counts_only(spark, monkeypatch):
         assert got[q] == (len(on_page), len(ranked), sum(on_page), len(on_page) - sum(on_page)), q
     assert not any({"product_id", "store_id"} & set(columns) for columns in written)
 
+
+def test_a_chat_batch_is_cut_before_it_is_shuffled(tables):
+    """The retry without the city shuffled all rows of all queries to find those without an answer."""
+    asked = tables.sql("SELECT * FROM v_queries").join(tables.embeddings.select("vec_id", "embedding"), "vec_id", "left")
+    found = product_search.chat_product_search(asked, tables.listings, tables.products, tables.stores)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "WindowGroupLimit" in plan
+    assert plan.count("Scan parquet") and found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= product_search.CHAT_ROWS
