@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from shelfspark.operators import ranking
 from shelfspark.plans import product_search, refresh
 from shelfspark.session import cut_lineage
 
@@ -80,4 +81,18 @@ def test_a_refresh_writes_what_its_outputs_read(tables, monkeypatch):
     assert not any({"brand", "category_path", "raw_name", "image_url", "is_new"} & columns for columns in written)
     out = refresh.refresh_catalog(*args, parts=["listings", "products"])
     pairs = out["listings"].join(out["products"], "product_id").where("raw_name = canonical_name OR raw_name = 'r'").count()
+    assert any({"product_id", "product_url"} <= columns for columns in written)  # else the feed is on disk three times at once
     assert list(out) == ["products", "listings"] and pairs == out["listings"].count() == feed.count()
+
+
+def test_ranking_few_keys_shuffles_no_ranked_row(spark):
+    """The written rows were shuffled once more, to meet one count per key and partition."""
+    rows = spark.range(200_000).select((F.col("id") % 8).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        ranked = ranking.rank_all(rows, ["k"], [F.col("v")])
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert ranked.groupBy("k").agg(F.max("rank").alias("n"), F.count_distinct("rank").alias("d")).where("n = 25000 AND d = 25000").count() == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
